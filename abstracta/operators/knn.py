@@ -67,51 +67,59 @@ class KBest:
     def __init__(self, n_queries: int, k: int, digits: int):
         self.k, self.scale = k, 10.0**digits
         self.worst = np.full(n_queries, np.inf)
-        self.query = np.empty(0, np.int64)
-        self.ids: np.ndarray | None = None
-        self.dist = np.empty(0)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.room = 4 * n_queries * k + 100_000
 
-    def offer(self, block: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None = None) -> None:
+    def offer(self, block: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Take in the distances of ``ids`` to all queries, or to the ``queries`` rows only.
+
+        A (query, id) pair that is offered again is kept once.
+        """
+        if queries is None:
+            queries = np.arange(len(self.worst))
         ranked = np.floor(block * self.scale + 0.5)
-        if allowed is not None:
-            ranked = np.where(allowed, ranked, np.inf)
-        limit = self.worst
+        limit = self.worst[queries]
         if block.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(ranked, self.k - 1, axis=1)[:, self.k - 1])
-        keep = ranked <= limit[:, None]
-        if allowed is not None:
-            keep &= allowed
-        query, column = np.nonzero(keep)
-        if not len(query):
-            return
-        query = np.concatenate([self.query, query])
-        dist = np.concatenate([self.dist, block[keep]])
-        new = ids[column]
-        all_ids = new if self.ids is None else np.concatenate([self.ids, new])
+        row, column = np.nonzero(ranked <= limit[:, None])
+        if len(row):
+            self.pending.append((queries[row], ids[column], block[row, column]))
+            self.held += len(row)
+            if self.held > self.room:
+                self._compact()
+
+    def _compact(self) -> None:
+        query, ids, dist = (np.concatenate(parts) for parts in zip(*self.pending))
+        order = np.lexsort((dist, ids, query))
+        repeated = (np.diff(query[order]) == 0) & (ids[order][1:] == ids[order][:-1])
+        order = order[np.r_[True, ~repeated]]
+        query, dist, ids = query[order], dist[order], ids[order]
         rounded = np.floor(dist * self.scale + 0.5)
-        order = np.lexsort((all_ids, rounded, query))
+        order = np.lexsort((ids, rounded, query))
         sorted_query = query[order]
         starts = np.r_[0, np.nonzero(np.diff(sorted_query))[0] + 1]
         rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
         best = order[rank < self.k]
         full = order[rank == self.k - 1]
         self.worst[query[full]] = rounded[full]
-        self.query, self.ids, self.dist = query[best], all_ids[best], dist[best]
+        self.pending = [(query[best], ids[best], dist[best])]
+        self.held = len(best)
 
     def batch(self, query_ids: pa.Array, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        if self.ids is None:
+        if not self.pending:
             return
+        self._compact()
+        query, ids, dist = self.pending[0]
         columns = [
-            query_ids.take(pa.array(self.query)),
-            pa.array(self.ids.tolist(), schema.field(1).type),
-            pa.array(self.dist, pa.float64()),
+            query_ids.take(pa.array(query)), pa.array(ids.tolist(), schema.field(1).type), pa.array(dist, pa.float64())
         ]
         yield pa.RecordBatch.from_arrays(
             [column.cast(field.type) for column, field in zip(columns, schema)], schema=schema
         )
 
 
-def id_array(column: pa.Array) -> np.ndarray:
+def id_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if pa.types.is_integer(column.type):
         return column.to_numpy(zero_copy_only=False)
     return np.array(column.to_pylist(), dtype=np.str_)
@@ -148,6 +156,7 @@ def knn_join(
     query_vector: str = "embedding",
     item_id: str = "id",
     item_vector: str = "embedding",
+    cells: str | None = None,
     digits: int = 6,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
@@ -156,17 +165,23 @@ def knn_join(
     """``k`` nearest corpus rows of each query: ``query_id, id, distance, rank``.
 
     Ranks by distance to ``digits`` digits, then id, so results do not depend on the order
-    of additions or of tasks. Rows without a vector are left out.
+    of additions or of tasks. Rows without a vector are left out. ``cells`` names an
+    ``array<bigint>`` column of both sides and restricts the search to pairs that share a
+    cell.
     """
     if space not in SPACES:
         raise ValueError(f"Unknown space: {space}")
     # Fresh names on both sides: a self join would otherwise share column identities, and
     # the cogroup drops columns it takes for the same.
     q = queries.where(F.col(query_vector).isNotNull()).select(
-        F.col(query_id).alias("q_id"), F.col(query_vector).alias("q_vector")
+        F.col(query_id).alias("q_id"),
+        F.col(query_vector).alias("q_vector"),
+        *([F.col(cells).alias("q_cells")] if cells else []),
     )
     c = corpus.where(F.col(item_vector).isNotNull()).select(
-        F.col(item_id).alias("c_id"), F.col(item_vector).alias("c_vector")
+        F.col(item_id).alias("c_id"),
+        F.col(item_vector).alias("c_vector"),
+        *([F.col(cells).alias("c_cells")] if cells else []),
     )
     schema = result_schema(queries, query_id, corpus, item_id)
     row_bytes = dim * 8
@@ -177,26 +192,58 @@ def knn_join(
         pairs = _scan(head, c, int(k), dim, space, digits, schema)
     else:
         pairs = _blocks(q, c, int(k), dim, space, digits, schema, max(1, block_bytes // row_bytes), block_items)
+    if cells:
+        # Two tasks may have met the same pair in different cells.
+        pairs = pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return ordered(pairs, k, digits)
 
 
+def _members(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct cells of an ``array<bigint>`` column and the rows in each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(values, kind="stable")
+    found, starts = np.unique(values[order], return_index=True)
+    return found, np.split(rows[order], starts[1:])
+
+
+def _steps(n_queries: int, n_items: int, dim: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of item slices small enough to score against all queries at once."""
+    step = max(1, _STEP_CELLS // max(dim, n_queries, 1))
+    for start in range(0, n_items if n_queries else 0, step):
+        yield start, step
+
+
 def _scan(
     queries: pa.Table, corpus: DataFrame, k: int, dim: int, space: str, digits: int, schema: T.StructType
 ) -> DataFrame:
-    spark = corpus.sparkSession
-    ids = queries.column(0).combine_chunks()
-    shared = spark.sparkContext.broadcast((ids, to_matrix(queries.column(1), dim)))
+    """Score the corpus where it lies against broadcast queries."""
     out = _arrow_schema(schema)
+    celled = "c_cells" in corpus.columns
+    probes = dict(zip(*(part for part in _members(queries.column("q_cells"))))) if celled else {}
+    if celled and len(probes) <= 1000:
+        wanted = F.array(*[F.lit(int(cell)) for cell in probes]).cast("array<bigint>")
+        corpus = corpus.where(F.arrays_overlap("c_cells", wanted))
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        (queries.column("q_id").combine_chunks(), to_matrix(queries.column("q_vector"), dim), probes)
+    )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
+        query_ids, matrix, probed = shared.value
         best = KBest(len(matrix), k, digits)
-        step = max(1, _STEP_CELLS // max(dim, len(matrix), 1))
         for batch in batches:
-            for start in range(0, batch.num_rows if len(matrix) else 0, step):
+            for start, step in _steps(len(matrix), batch.num_rows, dim):
                 part = batch.slice(start, step)
-                block = distances(matrix, to_matrix(part.column(1), dim), space)
-                best.offer(block, id_array(part.column(0)))
+                items, ids = to_matrix(part.column(1), dim), id_array(part.column(0))
+                if not celled:
+                    best.offer(distances(matrix, items, space), ids)
+                    continue
+                for cell, rows in zip(*_members(part.column(2))):
+                    asking = probed.get(cell)
+                    if asking is not None:
+                        best.offer(distances(matrix[asking], items[rows], space), ids[rows], asking)
         yield from best.batch(query_ids, out)
 
     return corpus.mapInArrow(scan, schema)
@@ -209,34 +256,51 @@ def _blocks(
     """Blocked join of two large sides; block counts follow the counted rows.
 
     Queries are held as dense rows, items only step by step, so item blocks are larger.
-    Texts are embedded before they are copied to several blocks.
+    Texts are embedded before they are copied to several blocks. With cells, each cell is
+    cut into its own blocks, so a hot cell is many tasks and not one.
     """
     if isinstance(queries.schema["q_vector"].dataType, T.StringType):
-        queries = embed_text(queries, "q_vector", dim, "_terms").select("q_id", F.col("_terms").alias("q_vector"))
-        corpus = embed_text(corpus, "c_vector", dim, "_terms").select("c_id", F.col("_terms").alias("c_vector"))
-    q_blocks = max(1, -(-queries.count() // block_queries))
-    c_blocks = max(1, -(-corpus.count() // block_items))
-    # The whole row is hashed, so equal vectors spread as long as their ids differ.
-    q_block = F.pmod(F.xxhash64("q_id", "q_vector"), F.lit(q_blocks)).cast("int")
-    c_block = F.pmod(F.xxhash64("c_id", "c_vector"), F.lit(c_blocks)).cast("int")
-    left = queries.select(
-        q_block.alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("_c"), *queries.columns
+        queries = embed_text(queries, "q_vector", dim, "_terms").drop("q_vector").withColumnRenamed("_terms", "q_vector")
+        corpus = embed_text(corpus, "c_vector", dim, "_terms").drop("c_vector").withColumnRenamed("_terms", "c_vector")
+    if "c_cells" in corpus.columns:
+        queries = queries.withColumn("_cell", F.explode("q_cells")).drop("q_cells")
+        corpus = corpus.withColumn("_cell", F.explode("c_cells")).drop("c_cells")
+    else:
+        queries = queries.withColumn("_cell", F.lit(0).cast("bigint"))
+        corpus = corpus.withColumn("_cell", F.lit(0).cast("bigint"))
+    sizes = (
+        queries.groupBy("_cell").agg(F.count("*").alias("n_q"))
+        .join(corpus.groupBy("_cell").agg(F.count("*").alias("n_c")), "_cell")
+        .select(
+            "_cell",
+            F.ceil(F.col("n_q") / block_queries).cast("int").alias("_q_blocks"),
+            F.ceil(F.col("n_c") / block_items).cast("int").alias("_c_blocks"),
+        )
+    )
+
+    def numbered(blocks: str, *row: str) -> Column:
+        # The whole row is hashed, so equal vectors spread as long as their ids differ.
+        return F.pmod(F.xxhash64(*row), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    left = queries.join(sizes, "_cell").select(
+        "_cell", numbered("_q_blocks", "q_id", "q_vector").alias("_q"), every("_c_blocks").alias("_c"), "q_id", "q_vector"
     )
-    right = corpus.select(
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_q"), c_block.alias("_c"), *corpus.columns
+    right = corpus.join(sizes, "_cell").select(
+        "_cell", every("_q_blocks").alias("_q"), numbered("_c_blocks", "c_id", "c_vector").alias("_c"), "c_id", "c_vector"
     )
     out = _arrow_schema(schema)
 
     def join(q: pa.Table, c: pa.Table) -> pa.Table:
-        query_ids = q.column("q_id").combine_chunks()
         matrix = to_matrix(q.column("q_vector"), dim)
         best = KBest(len(matrix), k, digits)
-        step = max(1, _STEP_CELLS // max(dim, len(matrix), 1))
-        for start in range(0, c.num_rows if len(matrix) else 0, step):
+        for start, step in _steps(len(matrix), c.num_rows, dim):
             part = c.slice(start, step)
             block = distances(matrix, to_matrix(part.column("c_vector"), dim), space)
             best.offer(block, id_array(part.column("c_id")))
-        return pa.Table.from_batches(best.batch(query_ids, out), out)
+        return pa.Table.from_batches(best.batch(q.column("q_id").combine_chunks(), out), out)
 
-    pairs = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
-    return pairs.applyInArrow(join, schema)
+    keys = ["_cell", "_q", "_c"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(join, schema)
