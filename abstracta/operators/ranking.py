@@ -30,23 +30,25 @@ def dedup_first_seen(rows: DataFrame, key: Column | str, position: Column | str)
 
 
 def dense_position(
-    rows: DataFrame, position: str, name: str = "pos", start: int = 0, width: int = 1_000_000
+    rows: DataFrame, position: str, name: str = "pos", start: int = 0, keys: Sequence[str] = (),
+    width: int = 1_000_000,
 ) -> DataFrame:
-    """Number rows ``start, start+1, ...`` in the order of a unique BIGINT column.
+    """Number rows ``start, start+1, ...`` (per key) in the order of a unique BIGINT column.
 
-    A global window would pass every row through one task. Here rows are numbered inside
-    ranges of ``width`` consecutive positions, which hold at most ``width`` rows because
-    positions are unique, and shifted by the row count of the ranges before. Only the one
-    count per range meets in a single window.
+    One window over all rows would pass them through one task. Here rows are numbered
+    inside ranges of ``width`` consecutive positions, which hold at most ``width`` rows
+    because positions are unique, and shifted by the row count of the ranges before. Only
+    the one count per range meets in a single window.
     """
-    bucket = F.floor(F.col(position) / F.lit(width)).cast("bigint")
-    ranges = rows.select(bucket.alias("_range")).groupBy("_range").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(position))
-    numbered = rows.withColumn("_range", bucket).withColumn("_inside", inside)
+    span = F.floor(F.col(position) / F.lit(width)).cast("bigint")
+    by_range = [*keys, "_range"]
+    counts = rows.select(*keys, span.alias("_range")).groupBy(*by_range).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by_range, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by_range).orderBy(position))
+    numbered = rows.withColumn("_range", span).withColumn("_inside", inside)
     return (
-        numbered.join(offsets, "_range")
+        numbered.join(offsets, by_range)
         .withColumn(name, F.col("_before") + F.col("_inside") - 1 + F.lit(start))
         .drop("_range", "_inside", "_before")
     )

@@ -62,3 +62,11 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: survives the loss of executors."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(frame.sparkSession))
+    return frame.checkpoint()
