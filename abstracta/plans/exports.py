@@ -17,7 +17,7 @@ TITLE = rf"(?Ud)Title:{_SPACE}(.*)"
 VENUE = rf"(?Ud)Venue:{_SPACE}(.*)"
 LINK = rf"(?U)Link:{_SPACE}(https?://[^\s\x1c-\x1f]+\.pdf)"
 AFFINITY = rf"(?U)Affinity Score:{_SPACE}([0-9.]+)"
-BIBTEX = rf"(?U)BibTeX:{_SPACE}\n(@[\s\S]*?\n\})"
+BIBTEX = rf"(?U)BibTeX:{_SPACE}\n(@[\s\S]*?\n\}})"
 
 
 def _first(text: Column, pattern: str) -> Column:

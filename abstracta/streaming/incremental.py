@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,15 +20,16 @@ ROWS = T.StructType(
 
 def incremental_index(
     spark: SparkSession, source: str, root: str, model: str, checkpoint: str,
-    embed: Embedder = hashed_terms, name: str = "index", files_per_batch: int = 1000,
+    embed: Embedder = hashed_terms, files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Index the unseen ids of every new Parquet file under ``source``, then stop.
 
-    A micro-batch may be delivered twice. It writes a folder named after its number and does
-    not count that folder as stored, so the second delivery writes the same rows again in
-    place of the first.
+    A micro-batch may be delivered twice. It writes a folder named after the checkpoint and
+    its number and does not count that folder as stored, so the second delivery writes the
+    same rows again in place of the first.
     """
     create_store(spark, root)
+    name = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def add(batch: DataFrame, number: int) -> None:
         index_resume(batch, root, model, embed, f"{name}-{number}")
