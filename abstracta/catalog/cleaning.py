@@ -108,7 +108,7 @@ _UNESCAPE = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '
 
 @registered("coalesce_title", f"""
 SELECT page_id, coalesce(nullif(CASE WHEN url LIKE '%#top' THEN '' WHEN url LIKE 'http:%' THEN NULL
-                                     ELSE {_UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} END, ''),
+                                     ELSE {_UNESCAPE.format("trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))")} END, ''),
                          url) AS title
 FROM pages
 """)
@@ -186,7 +186,7 @@ def require_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.require_query_text(queries).select("conv_id", "turn", "error")
 
 
-_NAMES = "list_filter(list_transform(string_split(title, ','), x -> trim(x, " + SQL_SPACES + ")), x -> x <> '')"
+_NAMES = "list_filter(list_transform(string_split(title, ','), lambda x: trim(x, " + SQL_SPACES + ")), lambda x: x <> '')"
 
 
 @registered("split_authors", f"""
@@ -237,9 +237,9 @@ _CASED = "upper(w[1]) || lower(w[2:])"
 
 @registered("format_keywords", f"""
 WITH {PAPERS_SQL}
-SELECT doc_id, array_to_string(list_transform(list_filter(string_split(replace(title, ',', ' ,'), ' '), k -> k <> ''),
-         k -> array_to_string(list_transform(regexp_extract_all(k, '[a-zA-Zà-öø-ÿÀ-ÖØ-ß]+|[^a-zA-Zà-öø-ÿÀ-ÖØ-ß]+'),
-           w -> CASE WHEN w[1] = 'ß' THEN 'Ss' || lower(w[2:]) ELSE {_CASED} END), '')), ' ') AS keywords
+SELECT doc_id, array_to_string(list_transform(list_filter(string_split(replace(title, ',', ' ,'), ' '), lambda k: k <> ''),
+         lambda k: array_to_string(list_transform(regexp_extract_all(k, '[a-zA-Zà-öø-ÿÀ-ÖØ-ß]+|[^a-zA-Zà-öø-ÿÀ-ÖØ-ß]+'),
+           lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' || lower(w[2:]) ELSE {_CASED} END), '')), ' ') AS keywords
 FROM papers
 """)
 def format_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ COSINE_SQL = """1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBL
   / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
      * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"""
 L2SQ_SQL = """list_sum(list_transform(range(1, len(a.embedding) + 1),
-  i -> (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))"""
+  lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))"""
 NEXT_SQL = "embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 
@@ -183,7 +183,7 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("embedding_function", f"""
 WITH {terms_sql('t', 'doc_id', 'documents', DIM)},
 n AS (SELECT doc_id, sqrt(sum(weight * weight)) AS len FROM t GROUP BY doc_id)
-SELECT doc_id, bucket, round(weight / len, 5) + 0.0 AS weight FROM t JOIN n USING (doc_id)
+SELECT doc_id, bucket, round(CAST(CAST(weight / len AS FLOAT) AS DOUBLE), 6) + 0.0 AS weight FROM t JOIN n USING (doc_id)
 """)
 def dense_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_model(hashed_dense_model(DIM))
@@ -191,7 +191,7 @@ def dense_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     dense = docs.select("doc_id", embed_column("text").alias("embedding"))
     values = dense.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
-    return values.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+    return values.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 @registered("search_records", f"""

@@ -50,7 +50,7 @@ def exported(spark: SparkSession, sf_dir: str) -> str:
 @registered("read_export_blocks", f"""
 WITH {PAPERS_SQL}, whole AS (
   SELECT list_filter(string_split_regex(string_agg({BLOCK_SQL} || chr(10) || '{RULE}' || chr(10), '' ORDER BY doc_id), '-{{5,}}'),
-                     x -> x <> '') AS pieces FROM papers)
+                     lambda x: x <> '') AS pieces FROM papers)
 SELECT pos, pieces[pos + 1] AS value FROM (SELECT pieces, unnest(range(len(pieces))) AS pos FROM whole)
 """)
 def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def export_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- pages ------------------------------------------------------------------------------
 
 _LINK = "<a href=\"([^\"]*)\">(.*?)</a>"
-_TEXT = "array_to_string(list_filter(list_transform(string_split_regex({0}, '<[a-zA-Z/!][^>]*>'), x -> trim(x, " + SQL_SPACES + ")), x -> x <> ''), {1})"
+_TEXT = "array_to_string(list_filter(list_transform(string_split_regex({0}, '<[a-zA-Z/!][^>]*>'), lambda x: trim(x, " + SQL_SPACES + ")), lambda x: x <> ''), {1})"
 
 
 def _links_sql(links: str, source: str = "pages") -> str:
@@ -72,7 +72,7 @@ def _links_sql(links: str, source: str = "pages") -> str:
       {_UNESCAPE.format("regexp_extract(a, 'href=" + chr(34) + "([^" + chr(34) + "]*)', 1)")} AS href FROM numbered)"""
 
 
-_ANCHORS = "list_filter(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>'), a -> NOT regexp_matches(a, '(href=\"\"|>\\s*</a>)'))"
+_ANCHORS = "list_filter(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>'), lambda a: NOT regexp_matches(a, '(href=\"\"|>\\s*</a>)'))"
 _ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
 
 
@@ -84,7 +84,7 @@ def list_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("html_links_fallback", f"""
 WITH {_links_sql(f'''CASE WHEN regexp_matches(html, '(?s)<html lang="(de|fr)">.*</html>') AND len({_ANCHORS}) > 0 THEN {_ANCHORS}
-     ELSE list_filter({_ANCHORS}, a -> contains(regexp_extract(a, 'href="([^"]*)', 1), 'e')) END''')}
+     ELSE list_filter({_ANCHORS}, lambda a: contains(regexp_extract(a, 'href="([^"]*)', 1), 'e')) END''')}
 SELECT page_id, pos, title, {_ROOT} || href AS detail_url FROM found
 """)
 def list_links_or_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("bibtex_link_detect", f"""
-WITH {_links_sql("list_filter(" + _ANCHORS + ", a -> contains(lower(a[9:]), 'en'))")}
+WITH {_links_sql("list_filter(" + _ANCHORS + ", lambda a: contains(lower(a[9:]), 'en'))")}
 SELECT p.page_id, {_ROOT.replace("url", "p.url")} || f.href AS bibtex_url
 FROM pages p LEFT JOIN found f ON p.page_id = f.page_id AND f.pos = 0
 """)
