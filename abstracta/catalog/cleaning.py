@@ -103,7 +103,11 @@ def strip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", strip_text(padded).alias("text"))
 
 
-_UNESCAPE = "replace(replace(replace(replace({0}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+# The references that occur in the pages; a page cut short may end in one without semicolon.
+_UNESCAPE = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'),"
+    " '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+)
 
 
 @registered("coalesce_title", f"""

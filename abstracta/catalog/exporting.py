@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abstracta.catalog.registry import PAPERS_SQL, papers, registered
-from abstracta.catalog.searching import ALL_PAIRS_SQL, DIM, _corpus, _queries, ranked_sql
+from abstracta.catalog.searching import ALL_PAIRS_SQL, DIM, SCORE_SQL, _corpus, _queries, ranked_sql
 from abstracta.catalog.sourcing import BLOCK_SQL, exported
 from abstracta.functions.vectors import score_search
 from abstracta.operators.knn import knn_join
@@ -18,13 +18,13 @@ from abstracta.sources.textfiles import export_block, read_export_blocks
 
 @registered("export_results", f"""
 WITH {PAPERS_SQL}, {ALL_PAIRS_SQL}, {ranked_sql('hits', 'pairs', 5)},
-scored AS (SELECT query_id, rank, p.*, CASE WHEN distance <= 1 THEN round(1 - distance, 4) ELSE round(distance, 4) END + 0.0 AS score
+scored AS (SELECT query_id, rank, p.*, {SCORE_SQL} AS score
            FROM hits h JOIN papers p ON p.doc_id = h.id)
 SELECT query_id, rank, {BLOCK_SQL.replace('affinity', 'score')} AS block FROM scored
 """)
 def result_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = knn_join(_queries(spark, sf_dir), _corpus(spark, sf_dir), 5, DIM)
-    scored = hits.select("query_id", "rank", "id", score_search(F.round("distance", 6)).alias("score"))
+    scored = hits.select("query_id", "rank", "id", score_search(F.col("distance")).alias("score"))
     records = scored.join(papers(spark, sf_dir).drop("id").withColumnRenamed("doc_id", "id"), "id")
     return export_results(records).select("query_id", "rank", "block")
 

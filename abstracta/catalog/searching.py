@@ -32,8 +32,10 @@ def ranked_sql(name: str, pairs: str, k: int) -> str:
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM {pairs}) WHERE rank <= {k})"""
 
 
-ALL_PAIRS_SQL = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE_SQL}, 6) + 0.0 AS distance
-  FROM embeddings a, embeddings b)"""
+ALL_PAIRS_SQL = f"""pairs AS (SELECT query_id, id, exact, round(exact, 6) + 0.0 AS distance FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS id, {COSINE_SQL} AS exact FROM embeddings a, embeddings b))"""
+# The displayed score comes from the distance as it is, not from the one rounded for ranking.
+SCORE_SQL = "CASE WHEN exact <= 1 THEN round(1 - exact, 4) ELSE round(exact, 4) END + 0.0"
 
 
 def terms_sql(name: str, key: str, source: str, dim: int = TERM_BUCKETS) -> str:
@@ -199,7 +201,7 @@ WITH {PAPERS_SQL}, {ALL_PAIRS_SQL}, {ranked_sql('hits', 'pairs', 5)}
 SELECT query_id, rank, h.id, CASE WHEN lang = 'de' THEN 'Untitled' ELSE title END AS title,
        CASE lang WHEN 'fr' THEN venue || '|' || lang ELSE venue END AS keywords,
        CASE WHEN n_chars < 1000 THEN '' ELSE link END AS pdf, trim(abstract, ' ' || chr(10)) AS abstract, bibtex,
-       CASE WHEN distance <= 1 THEN round(1 - distance, 4) ELSE round(distance, 4) END + 0.0 AS score
+       {SCORE_SQL} AS score
 FROM hits h JOIN papers p ON p.doc_id = h.id
 """)
 def display_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +214,7 @@ def display_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_chars") >= 1000, F.col("link")).alias("link"),
         "abstract", "bibtex",
     )
-    hits = _rounded_hits(knn_join(_queries(spark, sf_dir), _corpus(spark, sf_dir), 5, DIM))
+    hits = knn_join(_queries(spark, sf_dir), _corpus(spark, sf_dir), 5, DIM)
     records = search_records(hits, shown).withColumn("keywords", F.array_join("keywords", "|"))
     return records.drop("distance")
 
