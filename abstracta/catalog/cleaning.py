@@ -13,7 +13,7 @@ from abstracta.operators import clean
 from abstracta.operators.joins import first_nonempty_source, list_detail_join, review_enrichment, union_venues
 from abstracta.operators.ranking import assign_ids, dedup_first_seen, dense_position, limit_first_n
 from abstracta.schema import RENAMES_API, RENAMES_CRAWL
-from abstracta.session import table
+from abstracta.session import spread, table
 
 
 @registered("unwrap_value", """
@@ -21,7 +21,7 @@ SELECT event_id, json_extract_string(props, '$.k') AS k, event_type, CAST(value
 FROM (SELECT event_id, props, event_type, CAST(value * 100 AS BIGINT) AS value FROM events)
 """)
 def unwrap_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     content = F.create_map(
         F.lit("k"), F.concat(F.lit('{"value": '), F.get_json_object("props", "$.k"), F.lit("}")),
         F.lit("event_type"), F.concat(F.lit('{"value": "'), F.col("event_type"), F.lit('"}')),
@@ -132,7 +132,7 @@ FROM papers
 """.replace("\\\\", "\\"))
 def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = safe_filename(F.col("doc_id") + 1, F.col("affinity"), F.col("venue"), F.col("title"))
-    return papers(spark, sf_dir).select("doc_id", name.alias("file_name"))
+    return papers(spark, sf_dir, heavy=True).select("doc_id", name.alias("file_name"))
 
 
 # Titles that look like withdrawn placeholders, or only start like one.
@@ -146,7 +146,7 @@ SELECT * FROM (SELECT doc_id, {_PLACEHOLDERS} AS title FROM papers)
 WHERE title IS NULL OR NOT regexp_full_match(title, 'Null[^\\s]+')
 """.replace("\\\\", "\\"))
 def drop_placeholder_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = papers(spark, sf_dir).select("doc_id", F.expr(_PLACEHOLDERS).alias("title"))
+    rows = papers(spark, sf_dir, heavy=True).select("doc_id", F.expr(_PLACEHOLDERS).alias("title"))
     return clean.drop_placeholder_titles(rows)
 
 
@@ -198,7 +198,7 @@ WITH {PAPERS_SQL}
 SELECT doc_id, array_to_string({_NAMES}, '|') AS authors, CAST(len({_NAMES}) AS INT) AS n FROM papers
 """)
 def split_author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = papers(spark, sf_dir).select("doc_id", split_authors(F.col("title")).alias("a"))
+    listed = papers(spark, sf_dir, heavy=True).select("doc_id", split_authors(F.col("title")).alias("a"))
     return listed.select("doc_id", F.array_join("a", "|").alias("authors"), F.size("a").alias("n"))
 
 
@@ -208,7 +208,7 @@ SELECT doc_id, CAST(len({_NAMES}) AS INT) AS n FROM listed
 """)
 def nonempty_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.concat(F.lit(",, "), F.replace(F.col("abstract"), F.lit("."), F.lit(",")))
-    return papers(spark, sf_dir).select("doc_id", F.size(split_authors(names)).alias("n"))
+    return papers(spark, sf_dir, heavy=True).select("doc_id", F.size(split_authors(names)).alias("n"))
 
 
 _WORDS = "regexp_extract_all(title, '[a-zA-Z]+')"
@@ -232,7 +232,7 @@ def parse_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("lang") == "de", F.array_join(words, ", "))
         .otherwise(F.concat(F.lit("['"), single))
     )
-    parsed = papers(spark, sf_dir).select("doc_id", parse_keywords(raw).alias("k"))
+    parsed = papers(spark, sf_dir, heavy=True).select("doc_id", parse_keywords(raw).alias("k"))
     return parsed.select("doc_id", F.array_join("k", "|").alias("keywords"), F.size("k").alias("n"))
 
 
@@ -248,7 +248,7 @@ FROM papers
 """)
 def format_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.replace(F.col("title"), F.lit(","), F.lit(" ,")), " ")
-    return papers(spark, sf_dir).select("doc_id", F.array_join(format_keywords(words), " ").alias("keywords"))
+    return papers(spark, sf_dir, heavy=True).select("doc_id", F.array_join(format_keywords(words), " ").alias("keywords"))
 
 
 @registered("build_file_stamp", """

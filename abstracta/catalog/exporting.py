@@ -53,7 +53,7 @@ _PARSED_SQL = r"""parsed AS (
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _BROKEN_SQL[_BROKEN_SQL.index("'Title") : _BROKEN_SQL.index(" AS value")]
-    return parse_export_entry(papers(spark, sf_dir).select("doc_id", F.expr(body).alias("value"))).drop("value")
+    return parse_export_entry(papers(spark, sf_dir, heavy=True).select("doc_id", F.expr(body).alias("value"))).drop("value")
 
 
 @registered("parse_export_entry", f"WITH {PAPERS_SQL}, {_BROKEN_SQL}, {_PARSED_SQL} SELECT * FROM parsed")
@@ -82,7 +82,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("extract_bibtex", f"WITH {PAPERS_SQL} SELECT doc_id, CAST(0 AS INT) AS n, bibtex FROM papers")
 def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = export_block(F.col("title"), F.col("venue"), F.col("link"), F.col("affinity"), F.col("bibtex"))
-    return extract_bibtex(papers(spark, sf_dir).select("doc_id", block.alias("value")), "doc_id")
+    return extract_bibtex(papers(spark, sf_dir, heavy=True).select("doc_id", block.alias("value")), "doc_id")
 
 
 @registered("write_bibtex", f"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abstracta.session import table
+from abstracta.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,9 +42,11 @@ CAST(n_chars % 1000 AS DOUBLE) / 1000 AS affinity
 PAPERS_SQL = f"papers AS (SELECT {_PAPERS} FROM documents)"
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """``heavy`` spreads the scan over all cores for costly per-row work."""
+    docs = table(spark, sf_dir, "documents")
     columns = [line.strip() for line in _PAPERS.strip().replace("\n  ||", " ||").split(",\n")]
-    return table(spark, sf_dir, "documents").selectExpr(*columns)
+    return (spread(docs) if heavy else docs).selectExpr(*columns)
 
 
 # Python's white space, as DuckDB text.

@@ -41,7 +41,7 @@ BLOCK_SQL = """'Title: ' || title || chr(10) || 'Venue: ' || venue || chr(10) ||
 
 def exported(spark: SparkSession, sf_dir: str) -> str:
     """Write all papers as one ranked export; returns its path."""
-    records = export_results(papers(spark, sf_dir).withColumn("score", F.col("affinity")))
+    records = export_results(papers(spark, sf_dir, heavy=True).withColumn("score", F.col("affinity")))
     path = scratch_path(spark, "export")
     write_export(records, path, order=["doc_id"])
     return path

@@ -14,12 +14,14 @@ def unwrap_value(json_text: Column) -> Column:
 
     Objects and arrays stay JSON text, scalars lose their quotes, and a JSON null is NULL.
     """
-    wrapped = F.array_contains(F.json_object_keys(json_text), "value")
-    inner = F.get_json_object(json_text, "$.value")
-    bare = F.when(json_text == "null", None).otherwise(
-        F.coalesce(F.get_json_object(json_text, "$"), json_text)
+    start = F.left(F.ltrim(json_text), F.lit(1))
+    # One parse in the usual case; the key list only tells a null value from a missing one.
+    without_value = ~F.array_contains(F.json_object_keys(json_text), "value")
+    unwrapped = F.coalesce(F.get_json_object(json_text, "$.value"), F.when(without_value, json_text))
+    unquoted = F.coalesce(F.get_json_object(json_text, "$"), json_text)
+    return (
+        F.when(start == "{", unwrapped).when(start == '"', unquoted).when(json_text != "null", json_text)
     )
-    return F.when(wrapped, inner).otherwise(bare)
 
 
 def unwrap_content(content: Column) -> Column:

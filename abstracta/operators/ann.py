@@ -7,7 +7,7 @@ join of :mod:`abstracta.operators.knn`; a cell of any size is searched whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from abstracta.operators.embed import evaluated_once
 from abstracta.operators.knn import BROADCAST_BYTES, distances, knn_join, to_matrix
 
 
@@ -54,19 +55,20 @@ def nearest_cells(
     shared = vectors.sparkSession.sparkContext.broadcast(
         (head.column("cell").to_numpy(), to_matrix(head.column("centroid"), dim))
     )
-    schema = T.StructType([*vectors.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def assign(column: pa.Array) -> pa.Array:
         cells, matrix = shared.value
-        for batch in batches:
-            items = to_matrix(batch.column(batch.schema.get_field_index(vector)), dim)
-            ranked = np.floor(distances(items, matrix, space) * 10.0**digits + 0.5)
-            nearest = cells[np.argsort(ranked, axis=1, kind="stable")[:, :n]]
-            offsets = np.arange(len(items) + 1, dtype=np.int32) * nearest.shape[1]
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(nearest.reshape(-1), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+        ranked = np.floor(distances(to_matrix(column, dim), matrix, space) * 10.0**digits + 0.5)
+        return _lists(cells[np.argsort(ranked, axis=1, kind="stable")[:, :n]])
 
-    return vectors.mapInArrow(assign, schema)
+    return vectors.withColumn(name, evaluated_once(assign)(vector))
+
+
+def _lists(cells: np.ndarray) -> pa.Array:
+    rows, width = cells.shape
+    offsets = np.arange(rows + 1, dtype=np.int32) * width
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.reshape(-1), pa.int64()))
 
 
 def ann_search_ivf(
@@ -90,19 +92,14 @@ def lsh_cells(vectors: DataFrame, planes: np.ndarray, vector: str = "embedding",
     """Add one cell per hash table: the signs of the vector against the table's planes."""
     tables, bits, dim = planes.shape
     normals = planes.reshape(tables * bits, dim)
-    schema = T.StructType([*vectors.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            items = to_matrix(batch.column(batch.schema.get_field_index(vector)), dim)
-            above = (items @ normals.T >= 0).reshape(len(items), tables, bits)
-            cells = (above * weights).sum(axis=2) + (np.arange(tables, dtype=np.int64) << bits)
-            offsets = np.arange(len(items) + 1, dtype=np.int32) * tables
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.reshape(-1), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
-
-    return vectors.mapInArrow(sign, schema)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sign(column: pa.Array) -> pa.Array:
+        above = (to_matrix(column, dim) @ normals.T >= 0).reshape(-1, tables, bits)
+        signatures = (above * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
+        return _lists(signatures + (np.arange(tables, dtype=np.int64) << bits))
+
+    return vectors.withColumn(name, evaluated_once(sign)(vector))
 
 
 def ann_search_lsh(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,21 +49,27 @@ def _terms(texts: pa.Array, dim: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), terms)
 
 
+def evaluated_once(function):
+    """Keep a costly function from being copied into filters that Spark infers and pushes down.
+
+    Such a filter (not NULL, not empty) would call the function a second time; Spark leaves
+    functions marked as non-deterministic where they are.
+    """
+    return function.asNondeterministic()
+
+
 def embed_text(docs: DataFrame, text: str, dim: int = TERM_BUCKETS, name: str = "terms") -> DataFrame:
     """Add the sparse vector of ``text`` as ``array<struct<bucket, weight>>``.
 
     All terms of a row are in the row, so they are counted where the row lies: no explode,
-    no shuffle. NULL text gives an empty vector. Select the columns you need first, since
-    every column passes through Arrow.
+    no shuffle. NULL text gives an empty vector.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(TERM))])
 
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = _terms(batch.column(batch.schema.get_field_index(text)), dim)
-            yield pa.RecordBatch.from_arrays([*batch.columns, terms], [*batch.schema.names, name])
+    @F.arrow_udf(T.ArrayType(TERM))
+    def terms(texts: pa.Array) -> pa.Array:
+        return _terms(texts, dim)
 
-    return docs.mapInArrow(embed, schema)
+    return docs.withColumn(name, evaluated_once(terms)(text))
 
 
 def explode_terms(embedded: DataFrame, *keep: str, terms: str = "terms") -> DataFrame:
@@ -79,7 +85,7 @@ class EmbeddingModel:
     name: str
     dim: int
     load: Callable[[], Callable[[np.ndarray], np.ndarray]]
-    batch_size: int = 256
+    batch_size: int = 1024
     needs_key: bool = False
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,8 +22,11 @@ BIBTEX = rf"(?U)BibTeX:{_SPACE}\n(@[\s\S]*?\n\}})"
 
 
 def _first(text: Column, pattern: str) -> Column:
-    """Stripped first match, NULL for none (an empty match stays empty)."""
-    return F.when(text.rlike(pattern), strip_text(F.regexp_extract(text, pattern, 1)))
+    """Stripped first match, NULL for none (an empty group stays empty).
+
+    ``regexp_extract`` gives an empty string in both cases, the list of matches does not.
+    """
+    return strip_text(F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0)))
 
 
 def export_results(records: DataFrame) -> DataFrame:
@@ -79,12 +83,9 @@ def write_bibtex(entries: DataFrame, order: Sequence[str], path: str, rows_per_f
     Part files in name order are the ``.bib`` text; up to ``rows_per_file`` entries are one
     file.
     """
-    last = entries.agg(F.max(F.struct(*order)).alias("last")).head()["last"]
-    if last is None:
+    last, n = entries.agg(F.max(F.struct(*order)), F.count("*")).head()
+    if not n:
         raise ValueError("No BibTeX entries found in the input.")
-    is_last = [F.col(c) == F.lit(last[c]) for c in order]
-    condition = is_last[0]
-    for other in is_last[1:]:
-        condition = condition & other
-    spaced = entries.withColumn("_value", F.when(condition, F.col("bibtex")).otherwise(F.concat("bibtex", F.lit("\n"))))
-    write_ordered_text(spaced, "_value", order, path, rows_per_file)
+    is_last = reduce(lambda a, b: a & b, [F.col(c) == F.lit(last[c]) for c in order])
+    spaced = entries.withColumn("_value", F.when(is_last, F.col("bibtex")).otherwise(F.concat("bibtex", F.lit("\n"))))
+    write_ordered_text(spaced, "_value", order, path, rows_per_file, n)

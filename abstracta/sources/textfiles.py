@@ -12,14 +12,15 @@ RULE = "-" * 80
 
 
 def write_ordered_text(
-    rows: DataFrame, value: str, order: Sequence[str], path: str, rows_per_file: int = 100_000
+    rows: DataFrame, value: str, order: Sequence[str], path: str, rows_per_file: int = 100_000,
+    n_rows: int | None = None,
 ) -> None:
     """Write one text value per row; the part files in name order are in row order.
 
     Ranges of the order go to separate tasks, so no task holds the whole output. Small
-    outputs are one file.
+    outputs are one file. ``n_rows`` saves the count where it is known.
     """
-    files = max(1, -(-rows.count() // rows_per_file))
+    files = max(1, -(-(rows.count() if n_rows is None else n_rows) // rows_per_file))
     ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     ranged.select(value).write.mode("errorifexists").option("lineSep", "\n").text(path)
 
