@@ -77,6 +77,10 @@ def ann_search_ivf(
 ) -> DataFrame:
     """``k`` nearest rows within the ``nprobe`` cells nearest to each query."""
     probing = nearest_cells(queries.select(query_id, "embedding"), centroids, dim, nprobe, space=space)
+    # At most one row per centroid; a corpus partitioned by cell then skips the other folders.
+    probed = [row[0] for row in probing.select(F.explode("cells")).distinct().collect()]
+    if len(probed) <= 1000:
+        corpus = corpus.where(F.col(cell).isin(*probed))
     stored = corpus.select(item_id, "embedding", F.array(F.col(cell).cast("bigint")).alias("cells"))
     return knn_join(
         probing, stored, k, dim, space, query_id=query_id, item_id=item_id, cells="cells", **blocks

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ from abstracta.schema import TERM
 TERM_BUCKETS = 4096
 # Fixed pattern: what separates two tokens of lower-cased text.
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
+_SLICE_BYTES = 16 * 1024 * 1024
 
 
 def hashed_tokens(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +38,24 @@ def hashed_tokens(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[filled], buckets[codes[filled]]
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive slices of a batch with a bounded amount of text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _SLICE_BYTES, side="right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def _terms(texts: pa.Array, dim: int) -> pa.Array:
     """Sparse vectors ``list<struct<bucket, weight>>``, buckets ascending in each row."""
+    parts = [_slice_terms(part, dim) for part in _slices(texts)]
+    return pa.concat_arrays(parts) if parts else _slice_terms(texts, dim)
+
+
+def _slice_terms(texts: pa.Array, dim: int) -> pa.Array:
     rows, buckets = hashed_tokens(texts, dim)
     cells, counts = np.unique(rows * dim + buckets, return_counts=True)
     per_row = np.bincount(cells // dim, minlength=len(texts))

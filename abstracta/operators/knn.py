@@ -24,6 +24,9 @@ from abstracta.operators.ranking import topk_per_group
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 128 * 1024 * 1024
 BLOCK_ITEMS = 50_000
+BROADCAST_CELLS = 500_000
+CANDIDATE_ROWS = 2_000_000_000
+MIN_SCAN_TASKS = 2_000
 _STEP_CELLS = 2_000_000
 
 
@@ -183,13 +186,13 @@ def knn_join(
         F.col(item_vector).alias("c_vector"),
         *([F.col(cells).alias("c_cells")] if cells else []),
     )
+    if isinstance(q.schema["q_vector"].dataType, T.StringType):
+        # As terms, a query of any length has a bounded size.
+        q = _embedded(q, "q_vector", dim)
     schema = result_schema(queries, query_id, corpus, item_id)
     row_bytes = dim * 8
-    limit = max(1, broadcast_bytes // row_bytes)
-    # One row beyond the limit is enough to know that the queries must not be broadcast.
-    head = q.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        pairs = _scan(head, c, int(k), dim, space, digits, schema)
+    if q.count() * row_bytes <= broadcast_bytes:
+        pairs = _scan(q.toArrow(), c, int(k), dim, space, digits, schema)
     else:
         pairs = _blocks(q, c, int(k), dim, space, digits, schema, max(1, block_bytes // row_bytes), block_items)
     if cells:
@@ -198,6 +201,10 @@ def knn_join(
     return ordered(pairs, k, digits)
 
 
+def _embedded(rows: DataFrame, vector: str, dim: int) -> DataFrame:
+    return embed_text(rows, vector, dim, "_terms").drop(vector).withColumnRenamed("_terms", vector)
+
+
 def _members(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct cells of an ``array<bigint>`` column and the rows in each."""
     if isinstance(column, pa.ChunkedArray):
@@ -246,7 +253,10 @@ def _scan(
                         best.offer(distances(matrix[asking], items[rows], space), ids[rows], asking)
         yield from best.batch(query_ids, out)
 
-    return corpus.mapInArrow(scan, schema)
+    # Every task sends up to k rows per query. Where splits times queries would be too many
+    # candidates, a task reads several splits in turn instead, without a shuffle.
+    tasks = max(MIN_SCAN_TASKS, CANDIDATE_ROWS // max(1, k * queries.num_rows))
+    return corpus.coalesce(tasks).mapInArrow(scan, schema)
 
 
 def _blocks(
@@ -259,24 +269,23 @@ def _blocks(
     Texts are embedded before they are copied to several blocks. With cells, each cell is
     cut into its own blocks, so a hot cell is many tasks and not one.
     """
-    if isinstance(queries.schema["q_vector"].dataType, T.StringType):
-        queries = embed_text(queries, "q_vector", dim, "_terms").drop("q_vector").withColumnRenamed("_terms", "q_vector")
-        corpus = embed_text(corpus, "c_vector", dim, "_terms").drop("c_vector").withColumnRenamed("_terms", "c_vector")
+    if isinstance(corpus.schema["c_vector"].dataType, T.StringType):
+        corpus = _embedded(corpus, "c_vector", dim)
+    q_blocks, c_blocks = F.ceil(F.col("n_q") / block_queries), F.ceil(F.col("n_c") / block_items)
+    blocks = [q_blocks.cast("int").alias("_q_blocks"), c_blocks.cast("int").alias("_c_blocks")]
     if "c_cells" in corpus.columns:
         queries = queries.withColumn("_cell", F.explode("q_cells")).drop("q_cells")
         corpus = corpus.withColumn("_cell", F.explode("c_cells")).drop("c_cells")
+        q_counts = queries.groupBy("_cell").agg(F.count("*").alias("n_q"))
+        sizes = q_counts.join(corpus.groupBy("_cell").agg(F.count("*").alias("n_c")), "_cell").select("_cell", *blocks)
+        if q_counts.count() <= BROADCAST_CELLS:
+            sizes = F.broadcast(sizes)
+        queries, corpus = queries.join(sizes, "_cell"), corpus.join(sizes, "_cell")
     else:
-        queries = queries.withColumn("_cell", F.lit(0).cast("bigint"))
-        corpus = corpus.withColumn("_cell", F.lit(0).cast("bigint"))
-    sizes = (
-        queries.groupBy("_cell").agg(F.count("*").alias("n_q"))
-        .join(corpus.groupBy("_cell").agg(F.count("*").alias("n_c")), "_cell")
-        .select(
-            "_cell",
-            F.ceil(F.col("n_q") / block_queries).cast("int").alias("_q_blocks"),
-            F.ceil(F.col("n_c") / block_items).cast("int").alias("_c_blocks"),
-        )
-    )
+        counted = F.lit(queries.count()).alias("n_q"), F.lit(corpus.count()).alias("n_c")
+        whole = [F.lit(0).cast("bigint").alias("_cell"), *blocks]
+        queries = queries.select("*", *counted).select("q_id", "q_vector", *whole)
+        corpus = corpus.select("*", *counted).select("c_id", "c_vector", *whole)
 
     def numbered(blocks: str, *row: str) -> Column:
         # The whole row is hashed, so equal vectors spread as long as their ids differ.
@@ -285,10 +294,10 @@ def _blocks(
     def every(blocks: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    left = queries.join(sizes, "_cell").select(
+    left = queries.select(
         "_cell", numbered("_q_blocks", "q_id", "q_vector").alias("_q"), every("_c_blocks").alias("_c"), "q_id", "q_vector"
     )
-    right = corpus.join(sizes, "_cell").select(
+    right = corpus.select(
         "_cell", every("_q_blocks").alias("_q"), numbered("_c_blocks", "c_id", "c_vector").alias("_c"), "c_id", "c_vector"
     )
     out = _arrow_schema(schema)

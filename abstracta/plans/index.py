@@ -16,6 +16,7 @@ from abstracta.operators.embed import embed_text
 from abstracta.operators.ranking import dedup_first_seen
 from abstracta.schema import VECTORS
 
+BROADCAST_BYTES = 64 * 1024 * 1024
 Embedder = Callable[[DataFrame], DataFrame]
 
 
@@ -76,9 +77,19 @@ def index_rebuild(rows: DataFrame, root: str, model: str, embed: Embedder = hash
     loaded.write.mode("overwrite").partitionBy("batch").parquet(_folder(root, model))
 
 
-def unseen(rows: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is not stored yet."""
-    return rows.join(existing.select(key), key, "left_anti")
+def unseen(rows: DataFrame, existing: DataFrame, key: str = "id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose key is not stored yet.
+
+    A load is mostly small beside what is stored. If its keys fit a broadcast, the stored
+    keys that occur in it are found by scanning the store without a shuffle, and only those
+    are taken away. Larger loads meet the store in a shuffled anti join.
+    """
+    keys = rows.select(key).distinct()
+    count, size = keys.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0))).head()
+    stored = existing.select(key)
+    if size + 16 * count <= broadcast_bytes:
+        stored = stored.join(F.broadcast(keys), key, "left_semi")
+    return rows.join(stored, key, "left_anti")
 
 
 def index_resume(
@@ -91,5 +102,6 @@ def index_resume(
     """
     load = batch or uuid.uuid4().hex
     stored = read_store(rows.sparkSession, root).where((F.col("model") == model) & (F.col("batch") != load))
-    fresh = unseen(dedup_first_seen(rows, "id", F.xxhash64("document")), stored)
+    # Stored ids go first, so the exchange of the second step carries new documents only.
+    fresh = dedup_first_seen(unseen(rows, stored), "id", F.xxhash64("document"))
     index_append(fresh, root, model, embed, load)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from abstracta.functions.text import parse_keywords, strip_text
-from abstracta.functions.vectors import distance_cosine, distance_l2sq, score_search
+from abstracta.functions.vectors import distance_to, score_search
 from abstracta.operators.clean import fill_defaults, require_query_text
 from abstracta.operators.embed import TERM_BUCKETS
 from abstracta.operators.knn import knn_join
@@ -23,10 +23,8 @@ def vector_search(
     item_id: str = "id", vector: str = "embedding", digits: int = 6,
 ) -> DataFrame:
     """``k`` nearest rows to one vector, among the rows that pass ``where``."""
-    measure = {"cosine": distance_cosine, "l2sq": distance_l2sq}[space]
-    literal = F.array(*[F.lit(float(x)) for x in query])
     chosen = vectors if where is None else vectors.where(where)
-    return topk_search(chosen, k, F.round(measure(F.col(vector), literal), digits), item_id)
+    return topk_search(chosen, k, F.round(distance_to(F.col(vector), query, space), digits), item_id)
 
 
 def text_topk_search(

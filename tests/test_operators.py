@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from abstracta.operators import ann, clean, joins, ranking, stats
 from abstracta.operators.embed import EmbeddingModel, embed_text, get_model, register_model
 from abstracta.operators.knn import knn_join
+from abstracta.plans.index import unseen
 from abstracta.plans.search import search_records, text_topk_search, vector_search
 
 SMALL = {"broadcast_bytes": 0, "block_bytes": 16 * 8 * 7, "block_items": 11}
@@ -224,3 +225,10 @@ def test_totals_add_up(spark):
     assert [tuple(r) for r in wide] == [("ACL", 2021, 572, 458, 0)]
     total = stats.venue_year_totals(rows).where("level = 1").collect()
     assert [(r["venue"], r["year"], r["n"]) for r in total] == [("ACL", 2021, 1030)]
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_unseen_both_join_forms(spark, limit):
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
+    stored = spark.createDataFrame([("b",), ("x",)], "id string")
+    assert sorted(r["id"] for r in unseen(rows, stored, broadcast_bytes=limit).collect()) == ["a", "c"]
