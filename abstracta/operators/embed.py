@@ -126,8 +126,8 @@ def get_model(name: str, api_key: str = "") -> EmbeddingModel:
 
 def embedding_function(model: EmbeddingModel) -> Callable[[Column | str], Column]:
     """Column function that applies a registered model in Arrow batches."""
-    return predict_batch_udf(
-        model.load, return_type=T.ArrayType(T.FloatType()), batch_size=model.batch_size
+    return evaluated_once(
+        predict_batch_udf(model.load, return_type=T.ArrayType(T.FloatType()), batch_size=model.batch_size)
     )
 
 

@@ -144,8 +144,12 @@ def result_schema(queries: DataFrame, query_id: str, corpus: DataFrame, item_id:
 
 
 def ordered(pairs: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Merge the per-task candidates: the k best per query with their rank."""
-    return topk_per_group(pairs, ["query_id"], [F.round("distance", digits), F.col("id")], k)
+    """Merge the per-task candidates: the k best per query with their rank.
+
+    Rounds as the tasks did, so a merge cannot prefer what a task would have dropped.
+    """
+    rounded = F.floor(F.col("distance") * F.lit(10.0**digits) + F.lit(0.5))
+    return topk_per_group(pairs, ["query_id"], [rounded, F.col("id")], k)
 
 
 def knn_join(
