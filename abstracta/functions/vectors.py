@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column, functions as F
 
 SPACES = ("cosine", "l2sq")
@@ -30,17 +27,6 @@ def distance_l2sq(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
 
 
-def distance_to(vector: Column, query: Sequence[float], space: str) -> Column:
-    """Distance of a column to one known vector, whose length is computed once."""
-    query = [float(x) for x in query]
-    literal = F.array(*[F.lit(x) for x in query])
-    if space == "l2sq":
-        return distance_l2sq(vector, literal)
-    if space == "cosine":
-        return F.lit(1.0) - dot(vector, literal) / (norm(vector) * F.lit(math.sqrt(sum(x * x for x in query))))
-    raise ValueError(f"Unknown space: {space}")
-
-
 def score_search(distance: Column) -> Column:
     """Displayed score for the cosine space. Not monotone beyond 1: rank on distance."""
     return F.when(distance <= 1, F.round(F.lit(1.0) - distance, 4)).otherwise(F.round(distance, 4))

@@ -11,14 +11,14 @@ per query, so the pairs themselves never become rows:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from abstracta.functions.vectors import SPACES
-from abstracta.operators.embed import embed_text, hashed_tokens
+from abstracta.operators.embed import embed_text, evaluated_once, hashed_tokens
 from abstracta.operators.ranking import topk_per_group
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -28,6 +28,7 @@ BROADCAST_CELLS = 500_000
 CANDIDATE_ROWS = 2_000_000_000
 MIN_SCAN_TASKS = 2_000
 _STEP_CELLS = 2_000_000
+_SMALL_BLOCK = 4_096
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -64,6 +65,33 @@ def distances(queries: np.ndarray, items: np.ndarray, space: str) -> np.ndarray:
     return 1.0 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
 
 
+def pair_distances(queries: np.ndarray, items: np.ndarray, space: str) -> np.ndarray:
+    """Distance of each query row to the item row beside it."""
+    if space == "l2sq":
+        return np.square(queries - items).sum(axis=1)
+    lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries) * np.einsum("ij,ij->i", items, items))
+    products = np.einsum("ij,ij->i", queries, items)
+    return 1.0 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+
+
+def distance_to(vector: Column, query: Sequence[float], space: str = "cosine") -> Column:
+    """Distance of a vector column to one known vector, in Arrow batches."""
+    if space not in SPACES:
+        raise ValueError(f"Unknown space: {space}")
+    target = np.array([query], dtype=np.float64)
+
+    @F.arrow_udf(T.DoubleType())
+    def measure(column: pa.Array) -> pa.Array:
+        # NULL vectors have no distance; they are left out of the matrix and put back.
+        known = column.drop_null()
+        found = np.full(len(column), np.nan)
+        present = column.is_valid().to_numpy(zero_copy_only=False)
+        found[present] = distances(target, to_matrix(known, target.shape[1]), space)[0]
+        return pa.array(found, mask=~present)
+
+    return evaluated_once(measure)(vector)
+
+
 class KBest:
     """The k best (distance to ``digits`` digits, then id) per query over a stream of blocks."""
 
@@ -92,8 +120,18 @@ class KBest:
             if self.held > self.room:
                 self._compact()
 
+    def offer_pairs(self, queries: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Take in single (query row, id, distance) pairs."""
+        keep = np.floor(dist * self.scale + 0.5) <= self.worst[queries]
+        self.pending.append((queries[keep], ids[keep], dist[keep]))
+        self.held += int(keep.sum())
+        if self.held > self.room:
+            self._compact()
+
     def _compact(self) -> None:
         query, ids, dist = (np.concatenate(parts) for parts in zip(*self.pending))
+        if not len(query):
+            return
         order = np.lexsort((dist, ids, query))
         repeated = (np.diff(query[order]) == 0) & (ids[order][1:] == ids[order][:-1])
         order = order[np.r_[True, ~repeated]]
@@ -114,6 +152,8 @@ class KBest:
             return
         self._compact()
         query, ids, dist = self.pending[0]
+        if not len(query):
+            return
         columns = [
             query_ids.take(pa.array(query)), pa.array(ids.tolist(), schema.field(1).type), pa.array(dist, pa.float64())
         ]
@@ -227,6 +267,34 @@ def _steps(n_queries: int, n_items: int, dim: int) -> Iterator[tuple[int, int]]:
         yield start, step
 
 
+def _offer_cells(
+    best: KBest, matrix: np.ndarray, items: np.ndarray, ids: np.ndarray, cells: pa.Array,
+    probes: dict[int, np.ndarray], space: str,
+) -> None:
+    """Score each item against the queries that search one of its cells.
+
+    Cells with many pairs are multiplied as blocks; the pairs of all small cells are scored
+    together.
+    """
+    few: list[tuple[np.ndarray, np.ndarray]] = []
+    for cell, rows in zip(*_members(cells)):
+        asking = probes.get(cell)
+        if asking is None:
+            continue
+        if len(asking) * len(rows) < _SMALL_BLOCK:
+            few.append((np.repeat(asking, len(rows)), np.tile(rows, len(asking))))
+            continue
+        for start, step in _steps(len(asking), len(rows), matrix.shape[1]):
+            part = rows[start : start + step]
+            best.offer(distances(matrix[asking], items[part], space), ids[part], asking)
+    if few:
+        queries, rows = (np.concatenate(side) for side in zip(*few))
+        step = max(1, _STEP_CELLS // matrix.shape[1])
+        for start in range(0, len(rows), step):
+            q, r = queries[start : start + step], rows[start : start + step]
+            best.offer_pairs(q, ids[r], pair_distances(matrix[q], items[r], space))
+
+
 def _scan(
     queries: pa.Table, corpus: DataFrame, k: int, dim: int, space: str, digits: int, schema: T.StructType
 ) -> DataFrame:
@@ -245,16 +313,14 @@ def _scan(
         query_ids, matrix, probed = shared.value
         best = KBest(len(matrix), k, digits)
         for batch in batches:
-            for start, step in _steps(len(matrix), batch.num_rows, dim):
+            # Cells are cut further inside; without them a slice meets all queries at once.
+            for start, step in _steps(min(len(matrix), 1 if celled else len(matrix)), batch.num_rows, dim):
                 part = batch.slice(start, step)
                 items, ids = to_matrix(part.column(1), dim), id_array(part.column(0))
-                if not celled:
+                if celled:
+                    _offer_cells(best, matrix, items, ids, part.column(2), probed, space)
+                else:
                     best.offer(distances(matrix, items, space), ids)
-                    continue
-                for cell, rows in zip(*_members(part.column(2))):
-                    asking = probed.get(cell)
-                    if asking is not None:
-                        best.offer(distances(matrix[asking], items[rows], space), ids[rows], asking)
         yield from best.batch(query_ids, out)
 
     # Every task sends up to k rows per query. Where splits times queries would be too many

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from abstracta.functions.text import parse_keywords, strip_text
-from abstracta.functions.vectors import distance_to, score_search
+from abstracta.functions.vectors import score_search
 from abstracta.operators.clean import fill_defaults, require_query_text
 from abstracta.operators.embed import TERM_BUCKETS
-from abstracta.operators.knn import knn_join
+from abstracta.operators.knn import distance_to, knn_join
 from abstracta.operators.ranking import topk_search
 from abstracta.schema import DISPLAY_DEFAULTS
 from abstracta.session import checkpointed
@@ -24,6 +24,7 @@ def vector_search(
 ) -> DataFrame:
     """``k`` nearest rows to one vector, among the rows that pass ``where``."""
     chosen = vectors if where is None else vectors.where(where)
+    chosen = chosen.where(F.col(vector).isNotNull())
     return topk_search(chosen, k, F.round(distance_to(F.col(vector), query, space), digits), item_id)
 
 
