@@ -54,15 +54,21 @@ def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.bincount(cells, weights, minlength=len(lengths) * dim).astype(np.float64).reshape(-1, dim)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
+
+
 def distances(queries: np.ndarray, items: np.ndarray, space: str) -> np.ndarray:
-    """Distance of every query to every item of one block."""
-    products = queries @ items.T
-    q_sq = np.einsum("ij,ij->i", queries, queries)[:, None]
-    i_sq = np.einsum("ij,ij->i", items, items)[None, :]
-    if space == "l2sq":
-        return np.maximum(q_sq + i_sq - 2.0 * products, 0.0)
-    lengths = np.sqrt(q_sq) * np.sqrt(i_sq)
-    return 1.0 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+    """Distance of every query to every item of one block; a zero vector is at cosine distance 1."""
+    if space == "cosine":
+        block = _unit(queries) @ _unit(items).T
+        return np.subtract(1.0, block, out=block)
+    block = queries @ items.T
+    block *= -2.0
+    block += np.einsum("ij,ij->i", queries, queries)[:, None]
+    block += np.einsum("ij,ij->i", items, items)[None, :]
+    return np.maximum(block, 0.0, out=block)
 
 
 def pair_distances(queries: np.ndarray, items: np.ndarray, space: str) -> np.ndarray:
@@ -101,6 +107,7 @@ class KBest:
         self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
         self.room = 4 * n_queries * k + 100_000
+        self.settle_at = n_queries * k
 
     def offer(self, block: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
         """Take in the distances of ``ids`` to all queries, or to the ``queries`` rows only.
@@ -109,24 +116,31 @@ class KBest:
         """
         if queries is None:
             queries = np.arange(len(self.worst))
-        ranked = np.floor(block * self.scale + 0.5)
         limit = self.worst[queries]
-        if block.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(ranked, self.k - 1, axis=1)[:, self.k - 1])
-        row, column = np.nonzero(ranked <= limit[:, None])
-        if len(row):
-            self.pending.append((queries[row], ids[column], block[row, column]))
-            self.held += len(row)
-            if self.held > self.room:
-                self._compact()
+        open_ended = bool(np.isinf(limit).any())
+        if open_ended and block.shape[1] > self.k:
+            limit = np.minimum(limit, self._rounded(np.partition(block, self.k - 1, axis=1)[:, self.k - 1]))
+        # One comparison leaves few pairs; only those are rounded.
+        row, column = np.nonzero(block < ((limit + 1.0) / self.scale)[:, None])
+        dist = block[row, column]
+        keep = self._rounded(dist) <= limit[row]
+        self._hold(queries[row[keep]], ids[column[keep]], dist[keep], open_ended)
+
+    def _rounded(self, dist: np.ndarray) -> np.ndarray:
+        return np.floor(dist * self.scale + 0.5)
+
+    def _hold(self, query: np.ndarray, ids: np.ndarray, dist: np.ndarray, settle: bool = False) -> None:
+        self.pending.append((query, ids, dist))
+        self.held += len(query)
+        # A first compaction soon gives limits that later blocks are compared with.
+        if self.held > self.room or (settle and self.held >= self.settle_at):
+            self._compact()
+            self.settle_at = 2 * self.held
 
     def offer_pairs(self, queries: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
         """Take in single (query row, id, distance) pairs."""
-        keep = np.floor(dist * self.scale + 0.5) <= self.worst[queries]
-        self.pending.append((queries[keep], ids[keep], dist[keep]))
-        self.held += int(keep.sum())
-        if self.held > self.room:
-            self._compact()
+        keep = self._rounded(dist) <= self.worst[queries]
+        self._hold(queries[keep], ids[keep], dist[keep])
 
     def _compact(self) -> None:
         query, ids, dist = (np.concatenate(parts) for parts in zip(*self.pending))
@@ -136,7 +150,7 @@ class KBest:
         repeated = (np.diff(query[order]) == 0) & (ids[order][1:] == ids[order][:-1])
         order = order[np.r_[True, ~repeated]]
         query, dist, ids = query[order], dist[order], ids[order]
-        rounded = np.floor(dist * self.scale + 0.5)
+        rounded = self._rounded(dist)
         order = np.lexsort((ids, rounded, query))
         sorted_query = query[order]
         starts = np.r_[0, np.nonzero(np.diff(sorted_query))[0] + 1]
