@@ -29,7 +29,7 @@ NEXT_SQL = "embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 
 def ranked_sql(name: str, pairs: str, k: int) -> str:
     return f"""{name} AS (SELECT * FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM {pairs}) WHERE rank <= {k})"""
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM {pairs}) WHERE rank <= {k})"""
 
 
 ALL_PAIRS_SQL = f"""pairs AS (SELECT query_id, id, exact, round(exact, 6) + 0.0 AS distance FROM (

@@ -11,6 +11,8 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -35,6 +37,10 @@ def difference(frame, connection, sql) -> str | None:
     """None when equal, else a short description."""
     names, got = normalised(frame.columns, [tuple(row) for row in frame.collect()])
     relation = connection.sql(sql)
+    theirs = dict(zip(relation.columns, map(str, relation.types)))
+    mine = {name: TYPES.get(kind, kind) for name, kind in frame.dtypes}
+    if mine != theirs:
+        return f"types {set(mine.items()) ^ set(theirs.items())}"
     expected_names, expected = normalised(relation.columns, relation.fetchall())
     if names != expected_names:
         return f"columns {names} != {expected_names}"
@@ -43,6 +49,4 @@ def difference(frame, connection, sql) -> str | None:
     for mine, theirs in zip(got, expected):
         if mine != theirs:
             return f"{str(mine)[:700]} != {str(theirs)[:700]}"
-        if [type(x) for x in mine] != [type(x) for x in theirs]:
-            return f"types {[type(x) for x in mine]} != {[type(x) for x in theirs]}"
     return None
