@@ -22,7 +22,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-from abstracta.llm.common import map_rows, text_or_empty
+from abstracta.llm.common import FOLD, map_rows, text_or_empty
 
 CONTAINMENT = 0.8
 #: Phrases with their labels.
@@ -45,12 +45,6 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),
 )
-#: One byte for every byte: A-Z lowered, ASCII letters and digits and all above kept, the rest a
-#: space; the line feed stays to part the blocks.
-FOLD = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 10 else 32 for c in range(256)
-)
-
 
 def folded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(FOLD)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abstracta.llm import chat, licenses, mixing, simhash, topk, warc
+from abstracta.llm import chat, decontaminate, licenses, mixing, simhash, token_counts, topk, warc
 from abstracta.llm.common import stored
 from abstracta.session import table
 
@@ -39,11 +39,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+#: Edits of every text: its first line once more in the middle, a stretch cut, the end replaced.
+_EDITS = """
+array(
+  named_struct('start', n DIV 2, 'end', n DIV 2, 'text', substring_index(body, '\n', 1)),
+  named_struct('start', n DIV 4, 'end', n DIV 4 + 40, 'text', ''),
+  named_struct('start', n - 10, 'end', n + 1000000000, 'text', ' 2nd edition, don''t panic'))
+"""
+
+
+@registered("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("body", F.coalesce("text", F.lit("")))
+    docs = docs.withColumn("n", F.length("body").cast("long"))
+    return token_counts.edited_counts(docs.select("doc_id", "text", F.expr(_EDITS).alias("edits")))
+
+
 @registered("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@registered("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 _CHAT_SQL = rf"""
 WITH rows AS (
