@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abstracta.llm import chat, decontaminate, licenses, mixing, simhash, token_counts, topk, warc
+from abstracta.llm import chat, decontaminate, licenses, mixing, simhash, token_counts, topk, toxicity, warc
 from abstracta.llm.common import stored
 from abstracta.session import table
 
@@ -39,6 +39,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
 
+def _remainder():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, _remainder() != 1)
+
+
+@registered("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(_remainder() == 1, F.lit(False))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 #: Edits of every text: its first line once more in the middle, a stretch cut, the end replaced.
 _EDITS = """
 array(
