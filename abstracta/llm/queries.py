@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abstracta.llm import chat, decontaminate, licenses, mixing, simhash, token_counts, topk, toxicity, warc
+from abstracta.llm import chat, decontaminate, licenses, mixing, simhash, suffix, token_counts, topk, toxicity, warc
 from abstracta.llm.common import stored
 from abstracta.session import table
 
@@ -72,6 +72,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_counts(docs.select("doc_id", "text", F.expr(_EDITS).alias("edits")))
 
 
+@registered("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(table(spark, sf_dir, "documents"))
+
+
 @registered("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -273,13 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, taught: Column, train_rows: int = TR
     ratio = t * F.log(t / n / share) + F.when(n > t, (n - t) * F.log((n - t) / n / (1 - share))).otherwise(0.0)
     found = counted.where((F.col("mark") != F.expr("X''")) & (t / n >= PURITY))
     tests = max(2, counted.count())
-    strong = found.withColumn("ratio", ratio).where(F.col("ratio") >= math.log(tests) + 2)
+    bar = math.log(tests) + 2
+    strong = found.withColumn("ratio", ratio).where(F.col("ratio") >= bar)
     top = strong.orderBy(F.col("ratio").desc(), "mark").limit(MOST_MARKS).collect()
     weights = {}
     for row in top:
         weight = math.log((row["toxic"] + 0.5) / (bad + 1)) - math.log((row["n"] - row["toxic"] + 0.5) / (clean + 1))
-        if weight > 1:
-            weights[bytes(row["mark"])] = weight
+        # Near copies of one text are not independent: a mark just over the bar counts for less.
+        weights[bytes(row["mark"])] = weight * row["ratio"] / (row["ratio"] + 2 * bar)
     return Model(costs, math.log(share / (1 - share)), weights)
 
 
