@@ -237,14 +237,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle_words: in
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component.
 
-    A repeated row of that id is kept once. Rows without an id cannot be named and all stay.
+    Rows of one id are one document: one of them, the first by text, stays if any stands for
+    its component. Rows without an id cannot be named and all stay.
     """
-    found = near_duplicates(docs, distance, shingle_words).where("doc_id = component_id")
-    kept = stored(found.groupBy("doc_id").count(), "simhash-kept")
-    lone = docs.where("doc_id IS NULL")
-    once = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    again = kept.where("count > 1").select("doc_id")
+    found = near_duplicates(docs, distance, shingle_words).groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
+    )
+    kept = stored(found.where("stays"), "simhash-kept")
+    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    again = kept.where("rows > 1").select("doc_id")
     if not again.isEmpty():
-        rows = docs.join(again, "doc_id", "left_semi").select(docs.columns)
-        once = once.unionByName(rows.dropDuplicates(["doc_id"]))
-    return once.unionByName(lone)
+        rows = docs.join(again, "doc_id", "left_semi").select(F.col("doc_id"), F.struct(*docs.columns).alias("row"))
+        first = rows.groupBy("doc_id").agg(F.min_by("row", "row.text").alias("row"))
+        once = once.unionByName(first.select("row.*"))
+    return once.unionByName(docs.where("doc_id IS NULL"))
