@@ -330,11 +330,12 @@ def dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("assign_ids", """
-SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id FROM documents WHERE n_chars >= 1000
+SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id FROM documents
 """)
 def positional_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = table(spark, sf_dir, "documents").where("n_chars >= 1000").select("doc_id")
-    return assign_ids(kept, "doc_id")
+    # Positions far apart, as after a filter.
+    kept = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 1000).alias("place"))
+    return assign_ids(kept, "place").drop("place")
 
 
 @registered("rank_results", """

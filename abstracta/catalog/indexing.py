@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abstracta.catalog.registry import registered
-from abstracta.catalog.searching import terms_sql
+from abstracta.catalog.searching import TEXT_PAIRS_SQL, ranked_sql, terms_sql
 from abstracta.plans import index
+from abstracta.plans.search import search_collection
 from abstracta.session import scratch_path, spread, table
 from abstracta.streaming.incremental import incremental_index
 
@@ -94,6 +95,19 @@ def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("id", F.size("embedding").alias("n_values"), F.col("metadata")["label"].alias("label"))
 
 
+@registered("search_collection", f"""
+WITH {TEXT_PAIRS_SQL},
+named AS (SELECT query_id, CAST(p.id AS VARCHAR) AS id, distance FROM pairs p JOIN documents d ON d.doc_id = p.id WHERE d.lang = 'en'),
+{ranked_sql('hits', 'named', 10)} SELECT query_id, id, rank, distance FROM hits
+""")
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _store(spark)
+    index.index_append(_rows(_documents(spark, sf_dir)), root, _MODEL)
+    queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    hits = search_collection(spark, root, _MODEL, queries, 10, where=F.col("metadata")["lang"] == "en")
+    return hits.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @registered("list_collections", f"""
 SELECT 'dense-64' AS model, count(*) AS n FROM embeddings UNION ALL SELECT '{_MODEL}', count(*) FROM documents
 """)

@@ -58,11 +58,12 @@ def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("venue_year_stats", f"""
 WITH {PAPERS_SQL}
 SELECT venue, year, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de,
-       count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'es') AS es
+       count(*) FILTER (WHERE lang = 'fr') AS fr,
+       count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'de', 'fr')) AS other
 FROM papers GROUP BY venue, year
 """)
 def venue_year_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.venue_year_stats(papers(spark, sf_dir), ["en", "de", "fr", "es"], "lang")
+    return stats.venue_year_stats(papers(spark, sf_dir), ["en", "de", "fr"], "lang")
 
 
 @registered("venue_year_totals", f"""

@@ -13,14 +13,20 @@ def unwrap_value(json_text: Column) -> Column:
     """``{"value": v}`` gives v, anything else itself, both as text.
 
     Objects and arrays stay JSON text, scalars lose their quotes, and a JSON null is NULL.
+    Text that only begins like JSON (``"Why?": an answer``, ``{a}-b``) is left as it is.
     """
     start = F.left(F.ltrim(json_text), F.lit(1))
     # One parse in the usual case; the key list only tells a null value from a missing one.
     without_value = ~F.array_contains(F.json_object_keys(json_text), "value")
     unwrapped = F.coalesce(F.get_json_object(json_text, "$.value"), F.when(without_value, json_text))
     unquoted = F.coalesce(F.get_json_object(json_text, "$"), json_text)
+    # The parser stops at the end of a value; inside brackets, what follows it is an error.
+    listed = F.try_parse_json(F.when(start.isin("{", '"'), F.concat(F.lit("["), json_text, F.lit("]"))))
+    whole = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
     return (
-        F.when(start == "{", unwrapped).when(start == '"', unquoted).when(json_text != "null", json_text)
+        F.when(whole & (start == "{"), unwrapped)
+        .when(whole & (start == '"'), unquoted)
+        .when(json_text != "null", json_text)
     )
 
 

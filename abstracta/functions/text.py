@@ -61,7 +61,7 @@ def _read_list_literal(raw: pd.Series) -> pd.Series:
             return None
         try:
             items = ast.literal_eval(value)
-            return [item if isinstance(item, str) else None for item in items]
+            return [item if isinstance(item, str) else None if item is None else str(item) for item in items]
         except Exception:
             return None
 
@@ -73,7 +73,7 @@ def parse_keywords(raw: Column, python_literals: bool = True) -> Column:
 
     Plain lists of quoted strings are read by expressions. The remaining literals
     (escapes, ``None``, numbers) go to a vectorised ``ast.literal_eval``; elements that
-    are not strings become NULL. ``python_literals=False`` keeps the whole expression
+    are not strings become their text, ``None`` and missing input stay NULL. ``python_literals=False`` keeps the whole expression
     on the JVM for columns known to hold plain lists only.
     """
     plain = raw.rlike(PLAIN_LIST)
@@ -83,16 +83,17 @@ def parse_keywords(raw: Column, python_literals: bool = True) -> Column:
     if python_literals:
         looks_like_list = F.startswith(strip_text(raw), F.lit("["))
         parsed = F.coalesce(parsed, _read_list_literal(F.when(looks_like_list & ~plain, raw)))
-    return F.coalesce(parsed, F.array(raw))
+    return F.coalesce(parsed, F.when(raw.isNotNull(), F.array(raw)))
 
 
-def _two_decimals(value: Column) -> Column:
-    """``value >= 0`` with two decimals, rounded on the exact binary value.
+def _two_decimals(signed: Column) -> Column:
+    """Two decimals, rounded on the exact binary value; NULL stays NULL.
 
     ``format_string('%.2f')`` rounds the decimal text half up (0.815 -> 0.82), while the
     binary value of 0.815 lies below the tie. The rounding error of ``value * 100`` is
     recovered exactly by splitting the mantissa, and decides such ties.
     """
+    value = F.abs(signed)
     split = value * F.lit(134217729.0)
     high = split - (split - value)
     low = value - high
@@ -102,7 +103,10 @@ def _two_decimals(value: Column) -> Column:
     part = product - whole
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
     cents = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
-    return F.format_string("%d.%02d", F.floor(cents / 100).cast("bigint"), cents % 100)
+    digits = F.format_string("%d.%02d", F.floor(cents / 100).cast("bigint"), cents % 100)
+    # Like the usual formatting, a negative zero keeps its sign.
+    minus = (signed < 0) | (signed.cast("string") == "-0.0")
+    return F.when(signed.isNotNull(), F.concat(F.when(minus, F.lit("-")).otherwise(F.lit("")), digits))
 
 
 def safe_filename(rank: Column, affinity: Column, venue: Column, title: Column) -> Column:

@@ -17,7 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def distance_cosine(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 for a vector without length, as for orthogonal ones."""
+    cosine = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0) - F.coalesce(cosine, F.lit(0.0)))
 
 
 def distance_l2sq(a: Column, b: Column) -> Column:

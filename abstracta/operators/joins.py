@@ -29,13 +29,17 @@ def first_nonempty_source(
     return tagged.join(first, reduce(lambda a, b: a & b, same), "left_semi")
 
 
-def list_detail_join(entries: DataFrame, details: DataFrame, key: str = "detail_url") -> DataFrame:
+def list_detail_join(entries: DataFrame, details: DataFrame, key: str = "detail_url", order: str | None = None) -> DataFrame:
     """Look every list entry up in the detail rows; a failed lookup keeps the entry.
 
-    Details are unique per key. The detail title wins over the list title, and missing
-    authors become an empty array.
+    A page crawled twice gives one detail row, the greatest by ``order`` or else by its
+    fields, so no entry is multiplied. The detail title wins over the list title, and
+    missing authors become an empty array.
     """
-    found = details.withColumnRenamed("title", "_detail_title")
+    fields = F.struct(*[F.col(c) for c in details.columns if c != key])
+    by = F.struct(F.col(order), fields) if order else fields
+    single = details.groupBy(key).agg(F.max_by(fields, by).alias("_fields")).select(key, "_fields.*")
+    found = single.withColumnRenamed("title", "_detail_title")
     joined = entries.join(found, key, "left").withColumn(
         "title", coalesce_title(F.col("_detail_title"), F.col("title"))
     )

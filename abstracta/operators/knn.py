@@ -226,7 +226,8 @@ def knn_join(
     """``k`` nearest corpus rows of each query: ``query_id, id, distance, rank``.
 
     Ranks by distance to ``digits`` digits, then id, so results do not depend on the order
-    of additions or of tasks. Rows without a vector are left out. ``cells`` names an
+    of additions or of tasks. Rows without a vector and corpus rows without an id are left
+    out; of a repeated id the nearest row counts. ``cells`` names an
     ``array<bigint>`` column of both sides and restricts the search to pairs that share a
     cell.
     """
@@ -239,7 +240,7 @@ def knn_join(
         F.col(query_vector).alias("q_vector"),
         *([F.col(cells).alias("q_cells")] if cells else []),
     )
-    c = corpus.where(F.col(item_vector).isNotNull()).select(
+    c = corpus.where(F.col(item_vector).isNotNull() & F.col(item_id).isNotNull()).select(
         F.col(item_id).alias("c_id"),
         F.col(item_vector).alias("c_vector"),
         *([F.col(cells).alias("c_cells")] if cells else []),
@@ -253,9 +254,9 @@ def knn_join(
         pairs = _scan(q.toArrow(), c, int(k), dim, space, digits, schema)
     else:
         pairs = _blocks(q, c, int(k), dim, space, digits, schema, max(1, block_bytes // row_bytes), block_items)
-    if cells:
-        # Two tasks may have met the same pair in different cells.
-        pairs = pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    # Two tasks may have met the same pair: in different cells, or by a repeated id. One
+    # exchange by query serves both this and the ranking.
+    pairs = pairs.repartition("query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     return ordered(pairs, k, digits)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,8 +18,13 @@ def topk_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
     """First ``k`` rows per key with their 1-based ``rank``.
 
     Spark plans a group limit before and after the exchange, so every task sends at most
-    ``k`` rows per key however many rows the key holds.
+    ``k`` rows per key however many rows the key holds. It does so up to a threshold of
+    its own; for a larger ``k`` a key's rows are ranked in parts first, which splits hot keys.
     """
+    limit = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if int(k) > limit:
+        parts = Window.partitionBy(*keys, F.pmod(F.spark_partition_id(), F.lit(64))).orderBy(*order)
+        rows = rows.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= int(k)).drop("rank")
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= int(k))
 
@@ -47,10 +53,12 @@ def dense_position(
     offsets = counts.select(*by_range, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by_range).orderBy(position))
     numbered = rows.withColumn("_range", span).withColumn("_inside", inside)
+    found = offsets.select(*[F.col(key).alias(f"_at_{key}") for key in by_range], "_before")
+    same = [F.col(key).eqNullSafe(F.col(f"_at_{key}")) for key in by_range]
     return (
-        numbered.join(offsets, by_range)
+        numbered.join(found, reduce(lambda a, b: a & b, same))
         .withColumn(name, F.col("_before") + F.col("_inside") - 1 + F.lit(start))
-        .drop("_range", "_inside", "_before")
+        .drop("_inside", "_before", "_range", *[f"_at_{key}" for key in by_range])
     )
 
 
@@ -64,14 +72,13 @@ def paginate(
 ) -> DataFrame:
     """One page of each ranked list, with ``page`` clamped to ``[1, total_pages]``.
 
-    Works on the rank the search already gave, so no list is gathered in one task: page
-    totals are an aggregate joined back.
+    The rank came from a window over the same keys, so the largest rank is one more window
+    on rows that already lie together: no join, and a NULL key is a list like any other.
     """
-    totals = results.groupBy(*keys).agg(
-        (F.floor((F.max(rank) - 1) / F.lit(per_page)) + 1).cast("int").alias("total_pages")
-    )
+    last = F.max(rank).over(Window.partitionBy(*keys))
+    pages = (F.floor((last - 1) / F.lit(per_page)) + 1).cast("int")
     wanted = F.greatest(F.lit(1), F.least(F.lit(int(page)), F.col("total_pages")))
-    paged = results.join(totals, list(keys)).withColumn("page", wanted)
+    paged = results.withColumn("total_pages", pages).withColumn("page", wanted)
     first = (F.col("page") - 1) * per_page
     return paged.where((F.col(rank) > first) & (F.col(rank) <= first + per_page))
 

@@ -32,11 +32,13 @@ def stage_counts(rows: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
 def venue_year_stats(
     rows: DataFrame, classes: Sequence[str], column: str = "decision", keys: Sequence[str] = ("venue", "year")
 ) -> DataFrame:
-    """Papers per key and class as a pivot with 0 for none.
+    """Papers per key and class with 0 for none; ``other`` counts every class not given.
 
     The classes are given, so no extra pass looks for them.
     """
-    return rows.groupBy(*keys).pivot(column, list(classes)).count().na.fill(0, list(classes))
+    listed = F.coalesce(F.col(column).isin(list(classes)), F.lit(False))
+    counts = [F.count_if(F.col(column) == name).alias(name) for name in classes]
+    return rows.groupBy(*keys).agg(*counts, F.count_if(~listed).alias("other"))
 
 
 def venue_year_totals(rows: DataFrame, keys: Sequence[str] = ("venue", "year", "decision")) -> DataFrame:

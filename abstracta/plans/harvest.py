@@ -42,10 +42,10 @@ def notes_to_papers(notes: DataFrame, venue: Column, year: Column, state: Column
         *[c for c in notes.columns if c != content],
         entry["title"].alias("title"),
         entry["abstract"].alias("abstract"),
-        parse_keywords(entry["authors"]).alias("authors"),
+        F.coalesce(parse_keywords(entry["authors"]), F.array().cast("array<string>")).alias("authors"),
         parse_keywords(entry["keywords"]).alias("keywords"),
         F.coalesce(venue, entry["venue"]).alias("venue"),
-        year.cast("int").alias("year"),
+        year.cast("string").try_cast("int").alias("year"),
         state.alias("state"),
         F.coalesce(entry["link"], entry["pdf"]).alias("link"),
         entry["_bibtex"].alias("bibtex"),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abstracta.operators.embed import embed_text
+from abstracta.operators.embed import embed_text, embedding_function, get_model
 from abstracta.operators.ranking import dedup_first_seen
 from abstracta.schema import VECTORS
 
@@ -25,6 +25,12 @@ def hashed_terms(rows: DataFrame) -> DataFrame:
     return embed_text(rows, "document", name="terms")
 
 
+def model_embedder(name: str, api_key: str = "") -> Embedder:
+    """Embedder of a registered dense model; the key check is that of ``get_model``."""
+    column = embedding_function(get_model(name, api_key))
+    return lambda rows: rows.withColumn("embedding", column(F.coalesce("document", F.lit(""))))
+
+
 def _folder(root: str, model: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9_.\-]+", model):
         raise ValueError(f"Model name {model!r} cannot name a folder")

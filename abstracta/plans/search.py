@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from abstracta.functions.text import parse_keywords, strip_text
 from abstracta.functions.vectors import score_search
 from abstracta.operators.clean import fill_defaults, require_query_text
-from abstracta.operators.embed import TERM_BUCKETS
+from abstracta.operators.embed import TERM_BUCKETS, embed_text, embedding_function, get_model
 from abstracta.operators.knn import distance_to, knn_join
 from abstracta.operators.ranking import topk_search
+from abstracta.plans.index import open_collection
 from abstracta.schema import DISPLAY_DEFAULTS
 from abstracta.session import checkpointed
 
@@ -42,6 +43,33 @@ def text_topk_search(
     )
 
 
+def search_collection(
+    spark: SparkSession, root: str, model: str, queries: DataFrame, k: int = 50, *, where: Column | None = None,
+    dense: bool = False, api_key: str = "", query_id: str = "query_id", text: str = "text", dim: int = TERM_BUCKETS,
+) -> DataFrame:
+    """``k`` nearest stored vectors of each query text: ``query_id, id, distance, rank``.
+
+    The queries are embedded with the model of the collection and meet its stored vectors;
+    documents are not read. ``dense`` collections were loaded with the registered ``model``,
+    the others with hashed terms. ``where`` is a condition on ``id`` and ``metadata``.
+    """
+    stored = open_collection(spark, root, model)
+    stored = stored if where is None else stored.where(where)
+    asked = require_query_text(queries, text).where("error is null")
+    if dense:
+        found = get_model(model, api_key)
+        asked = asked.withColumn("embedding", embedding_function(found)(text))
+        return knn_join(asked, stored, k, found.dim, query_id=query_id)
+    asked = embed_text(asked, text, dim)
+    return knn_join(asked, stored, k, dim, query_id=query_id, query_vector="terms", item_vector="terms")
+
+
+def collection_papers(stored: DataFrame) -> DataFrame:
+    """Stored rows as papers: the metadata map's fields beside id and abstract."""
+    fields = [F.col("metadata")[name].alias(name) for name in ("title", "keywords", "pdf", "bibtex")]
+    return stored.select("id", F.col("document").alias("abstract"), *fields)
+
+
 def search_records(hits: DataFrame, papers: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Ranked hits as display records; metadata is read for the hits only.
 

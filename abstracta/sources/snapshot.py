@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 PARTITIONS = ("venue", "year", "snapshot_ts")
@@ -50,4 +52,5 @@ def write_snapshot(rows: DataFrame, path: str, partitions: Sequence[str] = PARTI
 def latest_snapshot(table: DataFrame, keys: Sequence[str] = ("venue", "year")) -> DataFrame:
     """Rows of the newest snapshot per key."""
     newest = table.groupBy(*keys).agg(F.max("snapshot_ts").alias("snapshot_ts"))
-    return table.join(newest, [*keys, "snapshot_ts"], "left_semi")
+    same = [table[key].eqNullSafe(newest[key]) for key in (*keys, "snapshot_ts")]
+    return table.join(newest, reduce(lambda a, b: a & b, same), "left_semi")

@@ -43,15 +43,20 @@ def read_export_blocks(spark: SparkSession, path: str, splittable: bool = True)
         F.col("_metadata.file_block_start").alias("_block"),
         # Rises with the row inside a split; splits are told apart by their start.
         F.monotonically_increasing_id().alias("_seq"),
-        F.regexp_replace("value", r"\A-{1,4}", "").alias("value"),
+        "value",
     )
-    kept = pieces.where("value <> ''")
+    # The first piece of a file has no separator before it, so its dashes are its own.
+    by_split = Window.partitionBy("file", "_block").orderBy("_seq")
+    leading = (F.col("_block") == 0) & (F.row_number().over(by_split) == 1)
+    rest = F.regexp_replace("value", r"\A-{1,4}", "")
+    pieces = pieces.withColumn("_leads", leading).withColumn("value", F.when(F.col("_leads"), F.col("value")).otherwise(rest))
+    kept = pieces.where("value <> ''").drop("_leads")
     # Entries are numbered inside their split, which is bounded in bytes, and shifted by
     # the entries of the file's earlier splits.
     splits = kept.groupBy("file", "_block").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_seq"))
+    inside = F.row_number().over(by_split)
     return kept.withColumn("_inside", inside).join(starts, ["file", "_block"]).select(
         "file", (F.col("_before") + F.col("_inside") - 1).alias("pos"), "value"
     )

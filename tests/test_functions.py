@@ -47,7 +47,7 @@ def test_format_keywords(values):
         ("[]", []),
         (" [ 'a' , ]", ["a"]),
         (r"['a\'b']", ["a'b"]),
-        ("['a', None, 3]", ["a", None, None]),
+        ("['a', None, 3]", ["a", None, "3"]),
         ("[a, b]", ["[a, b]"]),
         ("['a\nb']", ["['a\nb']"]),
     ],
