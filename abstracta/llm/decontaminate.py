@@ -5,7 +5,7 @@ of n words is found where a passage of a document is within ``share * n`` word e
 
 Windows of an item's length start at every word. Those that hold too few of the benchmark's
 words cannot be within the distance and are left out (each kept word of a passage is a word of
-its item). The rest, and the items, take CGK walks: a random function of step and word says
+its item, as often as there). The rest, and the items, take CGK walks: a random function of step and word says
 whether the walk repeats the word or goes on, which turns few edits into few differing places
 of equally long outputs. A table of the LSH samples some places of one walk's output; windows
 that agree with an item in one table are candidates. With ``WALKS`` walks of ``TABLES`` tables
@@ -22,6 +22,8 @@ reported each; an empty table on either side finds nothing; other columns are ig
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -89,8 +91,13 @@ class Index:
             allowed = self.items[numbers[0]][2]
             vocabulary = np.zeros(len(self.numbers) + 1, bool)
             vocabulary[words.ravel()] = True
+            # How often an item of this length holds a word at most.
+            most = np.zeros(len(self.numbers) + 1, np.int16)
+            for row in words:
+                word, times = np.unique(row, return_counts=True)
+                most[word] = np.maximum(most[word], times)
             order = np.argsort(keys, axis=1)
-            self.tables[length] = allowed, vocabulary, np.take_along_axis(keys, order, 1), np.array(numbers)[order]
+            self.tables[length] = allowed, vocabulary, most, np.take_along_axis(keys, order, 1), np.array(numbers)[order]
 
 
 def lsh_keys(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -123,15 +130,35 @@ def lsh_keys(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return keys
 
 
+def distinct(windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for all equal ones, and which of them each row equals."""
+    random = np.random.default_rng([SEED, length, 1])
+    mix = random.integers(1, 1 << 63, (2, length), np.uint64) | np.uint64(1)
+    hashes = ((windows.astype(np.uint64) + np.uint64(3)) * mix[0] ^ mix[1]) * mix[1]
+    hashes = (hashes ^ (hashes >> np.uint64(31))).sum(1, dtype=np.uint64)
+    _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+    return first, same
+
+
+def enough_shared(windows: np.ndarray, most: np.ndarray, least: int) -> np.ndarray:
+    """Rows that can share ``least`` words with an item, each word as often as one holds it."""
+    ordered = np.sort(windows, axis=1)
+    places = np.arange(windows.shape[1])
+    new = np.ones(ordered.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    nth = places - np.maximum.accumulate(np.where(new, places, 0), axis=1)
+    return (nth < most[ordered]).sum(1) >= least
+
+
 def matches(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
     """Per text the items in it: ``item_id, distance, item words, last word``."""
     get, unknown = index.numbers.get, len(index.numbers)
     parts, bounds = [], [0]
     for text in texts:
         words = words_of(text)
-        parts.append(np.fromiter((get(w, unknown) for w in words), np.int32, len(words)))
+        parts.append(np.fromiter(map(get, words, repeat(unknown)), np.int32, len(words)))
         bounds.append(bounds[-1] + len(words))
-    total = bounds[-1]
+    total, edges = bounds[-1], np.array(bounds)
     longest = max(index.lengths, default=0)
     words = np.concatenate([*parts, np.full(longest, unknown, np.int32)])
     known = np.concatenate(([0], np.cumsum(words != unknown, dtype=np.int32)))
@@ -141,7 +168,7 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, in
         short, slack = band[0], max(index.tables[length][0] for length in band)
         starts = np.flatnonzero(known[short : short + total] - known[:total] >= short - slack)
         for length in band if len(starts) else ():
-            allowed, vocabulary, tables, numbers = index.tables[length]
+            allowed, vocabulary, most, tables, numbers = index.tables[length]
             likely = starts[known[starts + length] - known[starts] >= length - allowed]
             for part in range(0, len(likely), 1 << 15):
                 some = likely[part : part + (1 << 15)]
@@ -149,16 +176,27 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, in
                 for place in range(length):
                     held += vocabulary[words[some + place]]
                 some = some[held >= length - allowed]
-                keys = lsh_keys(words, some, length)
+                if not len(some):
+                    continue
+                # Runs of repeated lines give the same window many times: it is walked once.
+                windows = words[some[:, None] + np.arange(length)]
+                first, same = distinct(windows, length)
+                good = np.flatnonzero(enough_shared(windows[first], most, length - allowed))
+                if not len(good):
+                    continue
+                keys = lsh_keys(windows[first[good]].ravel().astype(np.int64), np.arange(len(good)) * length, length)
+                pairs = set()
                 for table in range(len(keys)):
                     low = np.searchsorted(tables[table], keys[table], "left")
                     high = np.searchsorted(tables[table], keys[table], "right")
                     for hit in np.flatnonzero(high > low):
-                        start = int(some[hit])
-                        doc = np.searchsorted(bounds, start, "right") - 1
-                        span = max(bounds[doc], start - allowed), min(bounds[doc + 1], start + length + 2 * allowed)
-                        for number in numbers[table, low[hit] : high[hit]]:
-                            regions.setdefault((int(doc), int(number)), []).append(list(span))
+                        pairs.update((int(hit), int(n)) for n in numbers[table, low[hit] : high[hit]])
+                for hit, number in pairs:
+                    at = some[same == good[hit]]
+                    docs = np.searchsorted(edges, at, "right") - 1
+                    spans = np.maximum(edges[docs], at - allowed), np.minimum(edges[docs + 1], at + length + 2 * allowed)
+                    for doc, start, end in zip(docs.tolist(), spans[0].tolist(), spans[1].tolist()):
+                        regions.setdefault((doc, number), []).append([start, end])
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for (doc, number), spans in regions.items():
         item_id, item, allowed = index.items[number]
