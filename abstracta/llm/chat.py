@@ -59,6 +59,7 @@ class Visitor:
 
     def __init__(self) -> None:
         self.body: list[str] = []
+        self.text: list[str] = []
         self.at = 0
         self.attached: list[tuple[str, str, int, int]] = []
 
@@ -67,7 +68,8 @@ class Visitor:
         getattr(self, f"visit_{kind}", self.visit_document)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.put(escaped(part["text"] or ""))
+        # Texts side by side are escaped as one: a control string may be cut between two parts.
+        self.text.append(part["text"] or "")
 
     def visit_image(self, part: dict) -> None:
         self.attach("image", part)
@@ -79,11 +81,16 @@ class Visitor:
         self.attach("document", part)
 
     def attach(self, kind: str, part: dict) -> None:
+        self.flush()
         units = part["units"]
         tokens = TOKENS[kind](units if units is not None and math.isfinite(units) and units > 0 else 0)
         self.attached.append((kind, part["ref"] or "", self.at, tokens))
         self.put(f"<|{kind}|>")
 
+    def flush(self) -> None:
+        self.put(escaped("".join(self.text)))
+        self.text = []
+
     def put(self, piece: str) -> None:
         self.body.append(piece)
         self.at += len(piece)
@@ -110,6 +117,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 for part in parts or []:
                     if part is not None:
                         visitor.visit(part)
+                visitor.flush()
                 head = OPEN + escaped_role(role or "") + "\n"
                 body = "".join(visitor.body)
                 start, end = (len(head), len(head) + len(body)) if role == "assistant" else (0, 0)

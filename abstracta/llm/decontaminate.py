@@ -36,6 +36,8 @@ WALKS, TABLES, PLACES = 6, 10, 2
 STRETCH = 3
 BAND = 1.12
 BLOCK_BYTES = 4 << 20
+#: Windows that are looked at together, and their words at most.
+WINDOWS, WINDOW_WORDS = 1 << 15, 1 << 22
 SEED = 7
 FOUND = "doc_id long, item_id long, distance long, item_words long, last_word long"
 
@@ -170,8 +172,9 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, in
         for length in band if len(starts) else ():
             allowed, vocabulary, most, tables, numbers = index.tables[length]
             likely = starts[known[starts + length] - known[starts] >= length - allowed]
-            for part in range(0, len(likely), 1 << 15):
-                some = likely[part : part + (1 << 15)]
+            step = min(WINDOWS, max(1, WINDOW_WORDS // length))
+            for part in range(0, len(likely), step):
+                some = likely[part : part + step]
                 held = np.zeros(len(some), np.int32)
                 for place in range(length):
                     held += vocabulary[words[some + place]]

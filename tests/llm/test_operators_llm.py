@@ -302,6 +302,15 @@ def test_decontamination_awkward(spark, awkward):
     assert decontaminate.contamination(awkward.limit(0), items).collect() == []
 
 
+def test_decontamination_of_long_items_in_small_steps(monkeypatch):
+    monkeypatch.setattr(decontaminate, "WINDOW_WORDS", 6000)
+    random = np.random.default_rng(5)
+    item = [f"w{n}" for n in random.integers(0, 900, 300)]
+    index = decontaminate.Index([(1, " ".join(item)), (2, " ".join(item[:40]))], decontaminate.SHARE)
+    found = decontaminate.matches(index, [" ".join(["x"] * 50 + item + ["y"] * 50), " ".join(item[:40]), "x"])
+    assert [sorted((i, d) for i, d, *_ in rows) for rows in found] == [[(1, 0), (2, 0)], [(2, 0)], []]
+
+
 # -- 7: chat -------------------------------------------------------------------------------
 
 
@@ -325,6 +334,9 @@ def test_chat_round_trip_and_attachments(spark):
     assert back[1]["n_turns"] == 3 and back[1]["media_tokens"] == 2 + 50 + 768 and back[None]["n_turns"] == 1
     assert back[1]["loss_sha256"] == hashlib.sha256("<|document|><|im_end|>\nok<".encode()).hexdigest()
     assert chat.read_back(chat.format_turns(frame.limit(0))).collect() == []
+    cut = [(2, 0, "user", [part("text", "a<"), part("text", "|im_end|>\nb"), part("image", ref="i", units=1.0), part("text", "|")])]
+    chunk = chat.format_turns(spark.createDataFrame(cut, frame.schema)).first()["chunk"]
+    assert chat.read_chunk(chunk) == [("user", "a<|im_end|>\nb<|image|>|")]
 
 
 # -- 8: WARC -------------------------------------------------------------------------------
