@@ -7,6 +7,7 @@ short extracted texts that may hold character references go through Python.
 from __future__ import annotations
 
 import html as html_lib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -39,17 +40,41 @@ def inner_text(markup: Column, joiner: str = "") -> Column:
 
 def element(html: Column, tag: str, attribute: str = "") -> Column:
     """Inner markup of the first ``tag`` whose attributes match the regex; NULL if none."""
-    wanted = f"(?={_ATTRS_AHEAD}{attribute})" if attribute else ""
-    pattern = rf"(?is)<{tag}(?=[\s>]){wanted}{_ATTRS}>(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return F.try_element_at(elements(html, tag, attribute), F.lit(1))
 
 
 def elements(html: Column, tags: str, attribute: str = "") -> Column:
-    """Inner markups of every element whose tag is in the ``a|b`` list and attributes match."""
+    """Inner markups of every element whose tag is in the ``a|b`` list and attributes match.
+
+    Only pages in which such an element holds one of its own tag leave the JVM.
+    """
     wanted = f"(?={_ATTRS_AHEAD}{attribute})" if attribute else ""
-    pattern = rf"(?is)<({tags})(?=[\s>]){wanted}{_ATTRS}>(.*?)</\1\s*>"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
+    opening = rf"(?is)<({tags})(?=[\s>]){wanted}{_ATTRS}>"
+    flat = F.regexp_extract_all(html, F.lit(rf"{opening}(.*?)</\1\s*>"), F.lit(2))
+    nested = html.rlike(rf"{opening}(?:(?!</\1\s*>).)*?<\1(?=[\s>])")
+    return F.when(nested, _whole_nodes(opening)(F.when(nested, html))).otherwise(flat)
+
+
+def _whole_nodes(opening: str):
+    start = re.compile(opening)
+
+    def nodes(page: str) -> list[str]:
+        found, at = [], 0
+        while match := start.search(page, at):
+            depth, end, at = 1, len(page), len(page)
+            for tag in re.finditer(rf"(?is)<(/?){match[1]}(?=[\s>]){_ATTRS}>", page[match.end() :]):
+                depth += -1 if tag[1] else 1
+                if not depth:
+                    end, at = match.end() + tag.start(), match.end() + tag.end()
+                    break
+            found.append(page[match.end() : end])
+        return found
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def whole(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: None if page is None else nodes(page))
 
+    return whole
 
 
 
@@ -64,7 +89,7 @@ def has_id(name: str) -> str:
 
 
 def anchors(markup: Column) -> Column:
-    """All anchors as ``array<struct<href, text, raw_text>>`` in page order.
+    """All anchors as ``array<struct<href, text>>`` in page order.
 
     ``href`` is NULL without the attribute, ``text`` joins the stripped text nodes.
     Character references are still in place; unescape after exploding.

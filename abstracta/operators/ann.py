@@ -7,10 +7,11 @@ join of :mod:`abstracta.operators.knn`; a cell of any size is searched whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from abstracta.operators.embed import evaluated_once
 from abstracta.operators.knn import BROADCAST_BYTES, distances, knn_join, to_matrix
 
+LISTED_CELLS, PROBED_CELLS = 10_000, 1_000_000
+
 
 def cell_centroids(vectors: DataFrame, cell: str, vector: str = "embedding") -> DataFrame:
     """Mean vector per cell: ``cell BIGINT, centroid ARRAY<DOUBLE>``."""
@@ -37,32 +40,49 @@ def train_cells(vectors: DataFrame, cells: int, vector: str = "embedding", seed:
     return vectors.sparkSession.createDataFrame(rows, "cell bigint, centroid array<double>")
 
 
-def _small(frame: DataFrame, dim: int) -> pa.Table:
-    """Fetch the centroids after checking that they fit a broadcast."""
-    limit = max(1, BROADCAST_BYTES // (dim * 8))
-    rows = frame.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"more than {limit} centroids; use fewer cells")
-    return rows
+def _centroid_blocks(centroids: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:
+    """The centroids in pieces of about ``block_bytes``, each small enough to travel."""
+    centroids = centroids.select("cell", "centroid")
+    blocks = -(-centroids.count() * dim * 8 // block_bytes)
+    for number in range(blocks):
+        part = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64("cell"), F.lit(blocks)) == number)
+        rows = part.toArrow().sort_by("cell")
+        if rows.num_rows:
+            yield rows
 
 
 def nearest_cells(
     vectors: DataFrame, centroids: DataFrame, dim: int, n: int, vector: str = "embedding", name: str = "cells",
-    space: str = "cosine", digits: int = 6,
+    space: str = "cosine", digits: int = 6, block_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add the ``n`` nearest cells of each vector, nearest first, ties by cell number."""
-    head = _small(centroids.select("cell", "centroid"), dim).sort_by("cell")
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (head.column("cell").to_numpy(), to_matrix(head.column("centroid"), dim))
-    )
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    """Add the ``n`` nearest cells of each vector, nearest first, ties by cell number.
+
+    Centroids of over ``block_bytes`` travel in blocks: each vector's nearest cells of every
+    block, with their rounded distances, are ranked at the end. No centroids, no cells.
+    """
+    context, found = vectors.sparkSession.sparkContext, []
+    for head in _centroid_blocks(centroids, dim, block_bytes):
+        shared = context.broadcast((head.column("cell").to_numpy(), to_matrix(head.column("centroid"), dim)))
+        found.append(evaluated_once(_nearest_in(shared, dim, n, space, digits))(vector))
+    if not found:
+        return vectors.withColumn(name, F.lit(None).cast("array<bigint>"))
+    named = [f"_near{i}" for i in range(len(found))]
+    near = vectors.withColumns(dict(zip(named, found)))
+    best = F.slice(F.array_sort(F.concat(*named)), 1, n) if len(named) > 1 else F.col(named[0])
+    return near.withColumn(name, F.transform(best, lambda c: c["cell"])).drop(*named)
+
+
+def _nearest_in(shared: Broadcast, dim: int, n: int, space: str, digits: int):
+    @F.arrow_udf("array<struct<distance: double, cell: bigint>>")
     def assign(column: pa.Array) -> pa.Array:
         cells, matrix = shared.value
         ranked = np.floor(distances(to_matrix(column, dim), matrix, space) * 10.0**digits + 0.5)
-        return _lists(cells[np.argsort(ranked, axis=1, kind="stable")[:, :n]])
+        order = np.argsort(ranked, axis=1, kind="stable")[:, :n]
+        pairs = [pa.array(np.take_along_axis(ranked, order, 1).reshape(-1)), pa.array(cells[order].reshape(-1), pa.int64())]
+        offsets = np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(pairs, ["distance", "cell"]))
 
-    return vectors.withColumn(name, evaluated_once(assign)(vector))
+    return assign
 
 
 def _lists(cells: np.ndarray) -> pa.Array:
@@ -77,10 +97,14 @@ def ann_search_ivf(
 ) -> DataFrame:
     """``k`` nearest rows within the ``nprobe`` cells nearest to each query."""
     probing = nearest_cells(queries.select(query_id, "embedding"), centroids, dim, nprobe, space=space)
-    # At most one row per centroid; a corpus partitioned by cell then skips the other folders.
-    probed = [row[0] for row in probing.select(F.explode("cells")).distinct().collect()]
-    if len(probed) <= 1000:
-        corpus = corpus.where(F.col(cell).isin(*probed))
+    probed = probing.select(F.explode("cells").alias(cell)).distinct()
+    # At most one number per centroid. A list makes a corpus partitioned by cell skip the
+    # other folders; longer ones drop the rows in a join, which Spark chooses beyond a bound.
+    most = centroids.count()
+    if most <= LISTED_CELLS:
+        corpus = corpus.where(F.col(cell).isin(*[row[0] for row in probed.collect()]))
+    else:
+        corpus = corpus.join(F.broadcast(probed) if most <= PROBED_CELLS else probed, cell, "left_semi")
     stored = corpus.select(item_id, "embedding", F.array(F.col(cell).cast("bigint")).alias("cells"))
     return knn_join(
         probing, stored, k, dim, space, query_id=query_id, item_id=item_id, cells="cells", **blocks

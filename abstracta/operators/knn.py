@@ -25,8 +25,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 128 * 1024 * 1024
 BLOCK_ITEMS = 50_000
 BROADCAST_CELLS = 500_000
-CANDIDATE_ROWS = 2_000_000_000
-MIN_SCAN_TASKS = 2_000
+#: Candidates that one task may hold, as queries times k.
+HELD_CANDIDATES = 4_000_000
+MERGE_PARTS = 16
 _STEP_CELLS = 2_000_000
 _SMALL_BLOCK = 4_096
 
@@ -202,8 +203,11 @@ def ordered(pairs: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
     Rounds as the tasks did, so a merge cannot prefer what a task would have dropped.
     """
-    rounded = F.floor(F.col("distance") * F.lit(10.0**digits) + F.lit(0.5))
-    return topk_per_group(pairs, ["query_id"], [rounded, F.col("id")], k)
+    return topk_per_group(pairs, ["query_id"], [_rounded_to(digits), F.col("id")], k)
+
+
+def _rounded_to(digits: int) -> Column:
+    return F.floor(F.col("distance") * F.lit(10.0**digits) + F.lit(0.5))
 
 
 def knn_join(
@@ -222,6 +226,7 @@ def knn_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
     block_items: int = BLOCK_ITEMS,
+    held: int = HELD_CANDIDATES,
 ) -> DataFrame:
     """``k`` nearest corpus rows of each query: ``query_id, id, distance, rank``.
 
@@ -250,14 +255,17 @@ def knn_join(
         q = _embedded(q, "q_vector", dim)
     schema = result_schema(queries, query_id, corpus, item_id)
     row_bytes = dim * 8
-    if q.count() * row_bytes <= broadcast_bytes:
+    n_queries, most = q.count(), max(1, held // int(k))
+    if n_queries * row_bytes <= broadcast_bytes and n_queries <= most:
         pairs = _scan(q.toArrow(), c, int(k), dim, space, digits, schema)
     else:
-        pairs = _blocks(q, c, int(k), dim, space, digits, schema, max(1, block_bytes // row_bytes), block_items)
-    # Two tasks may have met the same pair: in different cells, or by a repeated id. One
-    # exchange by query serves both this and the ranking.
-    pairs = pairs.repartition("query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return ordered(pairs, k, digits)
+        pairs = _blocks(q, c, int(k), dim, space, digits, schema, max(1, min(most, block_bytes // row_bytes)), block_items)
+    # Two tasks may have met the same pair: in different cells, or by a repeated id. A query
+    # has up to k candidates per task, so they are merged in parts by id before they meet.
+    parts = pairs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS))).repartition("query_id", "_part")
+    once = parts.groupBy("query_id", "_part", "id").agg(F.min("distance").alias("distance"))
+    best = topk_per_group(once, ["query_id", "_part"], [_rounded_to(digits), F.col("id")], int(k)).drop("_part", "rank")
+    return ordered(best, k, digits)
 
 
 def _embedded(rows: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -338,10 +346,7 @@ def _scan(
                     best.offer(distances(matrix, items, space), ids)
         yield from best.batch(query_ids, out)
 
-    # Every task sends up to k rows per query. Where splits times queries would be too many
-    # candidates, a task reads several splits in turn instead, without a shuffle.
-    tasks = max(MIN_SCAN_TASKS, CANDIDATE_ROWS // max(1, k * queries.num_rows))
-    return corpus.coalesce(tasks).mapInArrow(scan, schema)
+    return corpus.mapInArrow(scan, schema)
 
 
 def _blocks(

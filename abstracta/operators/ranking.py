@@ -43,14 +43,16 @@ def dense_position(
 
     One window over all rows would pass them through one task. Here rows are numbered
     inside ranges of ``width`` consecutive positions, which hold at most ``width`` rows
-    because positions are unique, and shifted by the row count of the ranges before. Only
-    the one count per range meets in a single window.
+    because positions are unique, and shifted by the row count of the ranges before. Where
+    positions lie so far apart that there may be over ``width`` ranges, their counts are
+    summed in ranges of ranges in the same way.
     """
     span = F.floor(F.col(position) / F.lit(width)).cast("bigint")
     by_range = [*keys, "_range"]
     counts = rows.select(*keys, span.alias("_range")).groupBy(*by_range).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by_range, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    low, high = rows.agg(F.min(position), F.max(position)).head()
+    ranges = 0 if low is None else high // width - low // width + 1
+    offsets = _rows_before(counts, keys, width, ranges)
     inside = F.row_number().over(Window.partitionBy(*by_range).orderBy(position))
     numbered = rows.withColumn("_range", span).withColumn("_inside", inside)
     found = offsets.select(*[F.col(key).alias(f"_at_{key}") for key in by_range], "_before")
@@ -62,6 +64,22 @@ def dense_position(
     )
 
 
+def _rows_before(counts: DataFrame, keys: Sequence[str], width: int, ranges: int) -> DataFrame:
+    """``_before``: the rows in all lower ranges of the key; no window holds over ``width`` ranges."""
+    upper = [F.floor(F.col("_range") / F.lit(width)).cast("bigint").alias("_upper")] if ranges > width else []
+    counts = counts.select(*keys, *upper, "_range", "_rows")
+    parts = [*keys, *(["_upper"] if upper else [])]
+    lower = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(lower), F.lit(0)))
+    if upper:
+        above = counts.groupBy(*parts).agg(F.sum("_rows").alias("_rows")).withColumnRenamed("_upper", "_range")
+        above = _rows_before(above, keys, width, ranges // width + 2)
+        above = above.select(*[F.col(c).alias(f"_up{c}") for c in [*keys, "_range"]], F.col("_before").alias("_more"))
+        same = [F.col(key).eqNullSafe(F.col(f"_up{key}")) for key in keys] + [F.col("_upper") == F.col("_up_range")]
+        counts = counts.join(above, reduce(lambda a, b: a & b, same)).withColumn("_before", F.col("_before") + F.col("_more"))
+    return counts.select(*keys, "_range", "_before")
+
+
 def assign_ids(rows: DataFrame, position: str, name: str = "id") -> DataFrame:
     """Id = position among the rows, as text."""
     return dense_position(rows, position, name).withColumn(name, F.col(name).cast("string"))

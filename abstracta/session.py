@@ -42,9 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    context_dir = spark.sparkContext.getCheckpointDir()
+    if context_dir:
+        return context_dir.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         _LOCAL_SHARED[app] = tempfile.mkdtemp(prefix="abstracta-")
     return _LOCAL_SHARED[app]

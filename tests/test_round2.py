@@ -5,13 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from abstracta.functions import text, vectors
+from abstracta.functions import html, text, vectors
 from abstracta.functions.records import unwrap_value
-from abstracta.operators import joins, ranking, stats
+from abstracta.operators import ann, joins, ranking, stats
 from abstracta.operators.embed import EmbeddingModel, hashed_dense_model, register_model
 from abstracta.operators.knn import knn_join
 from abstracta.plans import harvest, index, search
-from abstracta.sources import snapshot, textfiles
+from abstracta.sources import pages, snapshot, textfiles
 
 
 def test_text_that_only_begins_like_json_stays(values):
@@ -98,3 +98,48 @@ def test_search_a_stored_collection(spark, tmp_path):
     gated = register_model(EmbeddingModel("gated", 1024, model.load, needs_key=True))
     with pytest.raises(ValueError):
         index.model_embedder(gated.name)
+
+
+def test_numbers_of_positions_far_apart(spark):
+    places = [-(2**62), -7, 0, 3, 10**6, 10**12, 2**62]
+    rows = spark.createDataFrame([(k, p) for k in ("a", None) for p in places], "key string, p long")
+    numbered = ranking.dense_position(rows, "p", keys=["key"], width=10).collect()
+    assert len(numbered) == 14 and all(places[r["pos"]] == r["p"] for r in numbered)
+
+
+def test_knn_bounds_queries_times_k_and_merges_in_parts(spark):
+    corpus = spark.range(0, 300, 1, 6).selectExpr("id", "array(cast(id % 7 as float), cast(id % 11 as float)) AS embedding")
+    queries = corpus.where("id < 9").withColumnRenamed("id", "query_id")
+    scanned = knn_join(queries, corpus, 20, 2, "l2sq").orderBy("query_id", "rank").collect()
+    blocked = knn_join(queries, corpus, 20, 2, "l2sq", held=40).orderBy("query_id", "rank").collect()
+    assert scanned == blocked and len(scanned) == 180
+
+
+def test_cells_from_blocks_of_centroids(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, embedding array<float>")
+    centroids = rows.selectExpr("id AS cell", "cast(embedding as array<double>) AS centroid")
+    whole = ann.nearest_cells(rows, centroids, 2, 3, space="l2sq").orderBy("id").collect()
+    assert ann.nearest_cells(rows, centroids, 2, 3, space="l2sq", block_bytes=64).orderBy("id").collect() == whole
+    assert whole[5]["cells"] == [5, 4, 6]
+
+
+@pytest.mark.parametrize("listed", [10_000, 5])
+def test_search_drops_cells_not_probed(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(ann, "LISTED_CELLS", listed)
+    made = spark.range(60).selectExpr("id", "id % 30 AS cell", "array(cast(id % 30 as float), 1f) AS embedding")
+    made.coalesce(1).write.partitionBy("cell").parquet(str(tmp_path / "cells"))
+    corpus = spark.read.parquet(str(tmp_path / "cells"))
+    centroids = made.where("id < 30").selectExpr("cell", "cast(embedding as array<double>) AS centroid")
+    queries = made.where("id < 20").selectExpr("id AS query_id", "embedding")
+    hits = ann.ann_search_ivf(queries, corpus, centroids, 2, 2, 1, cell="cell", space="l2sq")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert ("cell#" in plan and " IN (" in plan or " INSET " in plan) if listed > 5 else "LeftSemi" in plan
+    assert {(r["query_id"], r["id"]) for r in hits.collect()} == {(i, j) for i in range(20) for j in (i, i + 30)}
+
+
+def test_nodes_that_hold_their_own_tag(values):
+    page = '<div id="abstract"><div>Part one</div> part two</div><div id="abstract">b</div>'
+    assert values([page, None, "<p>"], lambda x: html.element(x, "div", html.has_id("abstract"))) == ["<div>Part one</div> part two", None, None]
+    assert values([page], lambda x: html.elements(x, "div|p", html.has_id("abstract"))[0]) == ["<div>Part one</div> part two"]
+    listed = '<div class="ptitle"><div>x</div><a href="u">t</a></div>'
+    assert values([listed], lambda x: pages.titled_links(x)[0]["href"]) == ["u"]
