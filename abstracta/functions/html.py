@@ -19,6 +19,8 @@ _ATTRS_AHEAD = r"[^>]*?\s"
 _ANCHOR = rf"(?is)(<a(?=[\s>]){_ATTRS}>.*?</a\s*>)"
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 _TAG = rf"(?s)<[A-Za-z/!]{_ATTRS}>"
+# Nodes that cannot hold their own tag; another opening one ends them or is text.
+_UNCLOSED = ("p", "li", "dt", "dd", "tr", "td", "th", "option", "title", "style", "script", "a")
 
 
 @F.pandas_udf(T.StringType())
@@ -51,7 +53,8 @@ def elements(html: Column, tags: str, attribute: str = "") -> Column:
     wanted = f"(?={_ATTRS_AHEAD}{attribute})" if attribute else ""
     opening = rf"(?is)<({tags})(?=[\s>]){wanted}{_ATTRS}>"
     flat = F.regexp_extract_all(html, F.lit(rf"{opening}(.*?)</\1\s*>"), F.lit(2))
-    nested = html.rlike(rf"{opening}(?:(?!</\1\s*>).)*?<\1(?=[\s>])")
+    unclosed = rf"(?is)<(?!(?:{'|'.join(_UNCLOSED)})[\s>])"
+    nested = html.rlike(rf"{opening.replace('(?is)<', unclosed, 1)}(?:(?!</\1\s*>).)*?<\1(?=[\s>])")
     return F.when(nested, _whole_nodes(opening)(F.when(nested, html))).otherwise(flat)
 
 
@@ -63,7 +66,7 @@ def _whole_nodes(opening: str):
         while match := start.search(page, at):
             depth, end, at = 1, len(page), len(page)
             for tag in re.finditer(rf"(?is)<(/?){match[1]}(?=[\s>]){_ATTRS}>", page[match.end() :]):
-                depth += -1 if tag[1] else 1
+                depth += -1 if tag[1] else match[1].lower() not in _UNCLOSED
                 if not depth:
                     end, at = match.end() + tag.start(), match.end() + tag.end()
                     break
