@@ -33,7 +33,7 @@ from abstracta.llm.common import arrow_schema, as_batch, stored, text_or_empty
 
 LENGTH, ANCHOR = 100, 32
 #: A part of a text that is hashed at once; longer texts go in overlapping parts.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 19
 GROUP_ROWS = 4096
 BATCH_SUFFIXES = 1 << 16
 SEED = 11
