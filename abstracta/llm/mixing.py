@@ -75,10 +75,11 @@ def source_targets(sizes: DataFrame, schedules=SCHEDULES, repeats: int = REPEATS
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, repeats: int = REPEATS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, size, source_size, target, taken, position``.
+    """Per row of ``docs``: ``doc_id, size, source_size, target, taken, position, positions``.
 
-    ``taken`` counts the words that the mix takes, repeats included; ``position`` is the
-    training position (0 to 1) of the first taken pass, null where nothing is taken.
+    ``taken`` counts the words that the mix takes, repeats included; ``positions`` has the
+    training position (0 to 1) of every taken pass, the partial last one included, and
+    ``position`` is the first of them, null where nothing is taken.
 
     A hot source is cut into cells of about ``ROWS_PER_CELL`` rows of its drawn order, so its
     running sum is a sum of cells plus a sum inside one cell, never one task's work.
@@ -107,19 +108,37 @@ def mix(docs: DataFrame, schedules=SCHEDULES, repeats: int = REPEATS) -> DataFra
     words = F.round("target").cast("long")
     passes = F.expr("CASE WHEN source_size > 0 THEN words DIV source_size ELSE 0 END")
     placed = placed.withColumn("words", words).withColumn("begin", begin).withColumn("passes", passes)
-    rest = F.col("words") - F.col("passes") * F.col("source_size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("begin")))
-    placed = placed.withColumn("taken", F.col("passes") * F.col("size") + extra)
-    first = F.when(F.col("passes") > 0, F.col("size")).otherwise(F.col("taken"))
-    share = (F.col("begin") + first / 2) / F.col("words")
-    at = F.lit(None).cast("double")
-    for number, schedule in enumerate(schedules):
-        at = F.when(F.col("kind") == number, inverted(schedule, share)).otherwise(at)
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, at))
-    return placed.select("doc_id", "size", "source_size", "target", "taken", "position")
+    number = F.sequence(F.lit(0).cast("long"), F.col("passes"))
+    taken = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - p * F.col("source_size") - F.col("begin")))
+    share = lambda p, n: (p * F.col("source_size") + F.col("begin") + n / 2) / F.col("words")
+
+    def at(share: Column) -> Column:
+        time = F.lit(None).cast("double")
+        for number, schedule in enumerate(schedules):
+            time = F.when(F.col("kind") == number, inverted(schedule, share)).otherwise(time)
+        return time
+
+    shares = F.transform(number, lambda p: F.struct(taken(p).alias("words"), share(p, taken(p)).alias("share")))
+    placed = placed.withColumn("shares", F.filter(shares, lambda s: s["words"] > 0))
+    placed = placed.withColumn("taken", F.aggregate("shares", F.lit(0).cast("long"), lambda n, s: n + s["words"]))
+    placed = placed.withColumn("positions", F.transform("shares", lambda s: at(s["share"])))
+    placed = placed.withColumn("position", F.get("positions", F.lit(0)))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """Rows range-sorted by training position, untaken ones last."""
     keys = [F.col("position").asc_nulls_last(), F.col("doc_id")]
     return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def training_passes(mixed: DataFrame) -> DataFrame:
+    """``doc_id, pass, words, position``: a row per taken pass, range-sorted by training position.
+
+    Every pass but a row's last takes the whole document.
+    """
+    passes = mixed.select("doc_id", "size", "taken", F.posexplode("positions").alias("pass", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
+    passes = passes.select("doc_id", "pass", words.alias("words"), "position")
+    keys = [F.col("position"), F.col("doc_id"), F.col("pass"), F.col("words")]
+    return passes.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -172,7 +172,29 @@ FROM q
 @registered("op9_mixing", _MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))
-    return mixed.withColumn("position", F.round("position", 6))
+    return mixed.withColumn("position", F.round("position", 6)).drop("positions")
+
+
+#: Every pass of a document at its own place in the source's cumulative demand.
+_PASSES_SQL = _MIX_SQL.partition("k AS (")[0] + r"""
+n AS (
+  SELECT *, least(size, words - pass * source_size - begin_at) AS n_words
+  FROM p, (SELECT unnest(range(0, 4)) AS pass) WHERE pass <= passes),
+q AS (
+  SELECT *, (pass * source_size + begin_at + n_words / 2.0) / words AS share FROM n WHERE n_words > 0)
+SELECT doc_id, CAST(pass AS INTEGER) AS pass, CAST(n_words AS BIGINT) AS words,
+  round(CASE kind
+    WHEN 0 THEN (sqrt(greatest(0, 2.25 - 2 * share)) - 1.5) / -1.0
+    WHEN 1 THEN share
+    ELSE (sqrt(greatest(0, 2.25 + 6 * (share * 3))) - 1.5) / 3.0 END, 6) AS position
+FROM q
+"""
+
+
+@registered("op9_training_passes", _PASSES_SQL)
+def op9_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passes = mixing.training_passes(mixing.mix(table(spark, sf_dir, "documents")))
+    return passes.withColumn("position", F.round("position", 6))
 
 
 def _license_sql() -> str:

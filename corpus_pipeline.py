@@ -3,7 +3,7 @@
 Toxic documents go, one document of each near-duplicate group stays, bytes that repeat earlier
 long passages are cut, documents that hold benchmark items go, and the rest gets its places in
 the training order. The last stage returns that order (a row per document: words to take,
-training position), to be joined to the texts of the stage before.
+training position of every taken pass), to be joined to the texts of the stage before.
 
 Every stage keeps rows with a null id or text unless its own decision says otherwise, and runs
 on an empty table.

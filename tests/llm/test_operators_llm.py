@@ -388,6 +388,24 @@ def test_mixing_schedules_and_awkward(spark, awkward):
     assert mixing.mix(awkward.limit(0)).collect() == []
 
 
+def test_mixing_places_every_taken_pass(spark):
+    rows = [(i, "w " * (i % 5 + 1), "small") for i in range(20)] + [(100 + i, "w " * 50, "t") for i in range(20)]
+    even = (((0.0, 1.0), (1.0, 1.0)),)
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), even)
+    small = [r for r in mixed.collect() if r["doc_id"] < 100]
+    words = round(small[0]["target"])
+    assert words == 3 * small[0]["source_size"] and all(len(r["positions"]) == 3 for r in small)
+    passes = mixing.training_passes(mixed).collect()
+    assert [r["position"] for r in passes] == sorted(r["position"] for r in passes)
+    for got in ([r for r in passes if r["doc_id"] < 100], [r for r in passes if r["doc_id"] >= 100]):
+        # Under an even schedule the passes fill 0 to 1 without gaps, one after the other.
+        total, begin = sum(r["words"] for r in got), 0
+        for r in got:
+            assert abs(r["position"] - (begin + r["words"] / 2) / total) < 1e-9
+            begin += r["words"]
+    assert sum(r["words"] for r in passes) == sum(r["taken"] for r in mixed.collect())
+
+
 def test_mixing_plan_is_native(spark, sf_dir):
     plan = mixing.training_order(mixing.mix(table(spark, sf_dir, "documents")))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
