@@ -1,7 +1,9 @@
 """License scan: exact phrases, and an exact set-similarity join of lines with templates.
 
-Every line of a text is a block, its distinct words are its set. A block meets a template when
-it holds at least ``CONTAINMENT`` of the template's words. Template words are ordered by how
+Every line of a text is a block, its distinct words are its set. So is every stretch of words
+that runs over line ends and is at most ``1 / CONTAINMENT`` times as long as the template, so a
+sentence is met however it is wrapped. A block meets a template when it holds at least
+``CONTAINMENT`` of the template's words. Template words are ordered by how
 many blocks of the whole corpus hold them, rarest first. A template of n words that must share
 m of them has to share one of its n - m + 1 rarest (prefix filter); a block of fewer than m
 words cannot (length filter); and from the first shared word on, enough words must be left on
@@ -18,7 +20,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -45,6 +47,10 @@ TEMPLATES = (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),
 )
+#: Sentences met in the documents besides; apart because the SQL of op10_license_scan lists TEMPLATES.
+MORE_TEMPLATES = (
+    ("this work is licensed under the gnu general public license version 3", "gpl"),
+)
 
 def folded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(FOLD)
@@ -70,6 +76,8 @@ class Template:
     def __init__(self, text: str, label: str, frequency: dict[bytes, int], containment: float) -> None:
         self.words = sorted({w.encode() for w in text.split()}, key=lambda w: (frequency[w], w))
         self.label = label
+        #: Words of a stretch over line ends: the sentence with some foreign words between.
+        self.span = math.ceil(len(text.split()) / containment - 1e-9)
         self.least = math.ceil(containment * len(self.words) - 1e-9)
         self.prefix = self.words[: len(self.words) - self.least + 1]
         self.place = {word: i for i, word in enumerate(self.words)}
@@ -83,6 +91,21 @@ class Template:
             return 0.0
         return len(shared) / len(self.words)
 
+    def wrapped(self, words: list[bytes]) -> float:
+        """Best containment in any stretch of at most ``span`` of the ``words``, 0 below the least."""
+        best, held, inside = 0, Counter(), deque()
+        for at, word in enumerate(words):
+            if word in self.place:
+                inside.append((at, word))
+                held[word] += 1
+                while inside[0][0] <= at - self.span:
+                    _, old = inside.popleft()
+                    held[old] -= 1
+                    if not held[old]:
+                        del held[old]
+                best = max(best, len(held))
+        return best / len(self.words) if best >= self.least else 0.0
+
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per row.
@@ -122,6 +145,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: flo
                         if share:
                             labels.add(wanted[number].label)
                             score = max(score, share)
+            if len(lines) > 1:
+                whole = set(words)
+                for number in {n for word in prefix_words.intersection(whole) for n in index[word]}:
+                    # No stretch holds more than the whole text.
+                    if wanted[number].containment(whole):
+                        share = wanted[number].wrapped(words)
+                        if share:
+                            labels.add(wanted[number].label)
+                            score = max(score, share)
             first, last = (min(places), max(places)) if places else (None, None)
             yield doc_id, len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 

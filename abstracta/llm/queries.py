@@ -197,11 +197,11 @@ def op9_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.withColumn("position", F.round("position", 6))
 
 
-def _license_sql() -> str:
+def _license_sql(wanted=licenses.TEMPLATES) -> str:
     words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     listed = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
     phrases = ", ".join(f"({listed(p)}, '{label}')" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"(list_distinct({listed(t)}), '{label}')" for t, label in licenses.TEMPLATES)
+    templates = ", ".join(f"(list_distinct({listed(t)}), '{label}')" for t, label in wanted)
     return f"""
     WITH phrases(p, label) AS (VALUES {phrases}), templates(t, label) AS (VALUES {templates}),
     d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS text, {words.format("coalesce(text, '')")} AS w FROM documents),
@@ -223,3 +223,8 @@ def _license_sql() -> str:
 @registered("op10_license_scan", _license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@registered("op10_license_sentences", _license_sql(licenses.TEMPLATES + licenses.MORE_TEMPLATES))
+def op10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES + licenses.MORE_TEMPLATES)

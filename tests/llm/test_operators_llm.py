@@ -429,6 +429,34 @@ def test_license_filters_lose_nothing():
                 assert block & set(template.prefix)
 
 
+def test_license_sentences_wrapped_over_lines(spark):
+    wrapped = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+         "of this software and associated documentation files (the \"Software\"), to deal\n", "mit"),
+        ("# you may not use this file except in compliance with the License.\n"
+         "# You may obtain a copy of the License at\n", "apache-2"),
+        ("Redistribution and use in source and binary forms, with or without\n"
+         "modification, are permitted provided that the following conditions are met:\n", "bsd"),
+        ("This program is free software: you can redistribute it and/or modify\n"
+         "it under the terms of the GNU General Public License as published by\n", "gpl"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n"
+         "License, v. 2.0. If a copy of the MPL was not distributed with this\n", "mpl-2"),
+        # The same words far apart are no sentence.
+        ("all of it\n" + "other words stand here\n" * 20 + "rights are kept\n" + "and more\n" * 20 + "reserved seats", ""),
+    ]
+    docs = spark.createDataFrame([(i, "Title\n\n" + text) for i, (text, _) in enumerate(wrapped)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(len(wrapped))] == [label for _, label in wrapped]
+    assert all(got[i]["score"] >= 0.8 for i in range(5)) and got[5]["score"] == 0.0
+
+
+def test_license_gpl_sentence(spark):
+    text = "This work is licensed under the GNU General\nPublic License, version 3."
+    docs = spark.createDataFrame([(1, text), (2, text.replace("\n", " "))], "doc_id long, text string")
+    rows = licenses.scan(docs, licenses.TEMPLATES + licenses.MORE_TEMPLATES).collect()
+    assert [(r["labels"], r["score"]) for r in rows] == [("gpl", 1.0)] * 2
+
+
 def test_license_awkward(spark, awkward):
     rows = licenses.scan(awkward).collect()
     assert len(rows) == awkward.count()
