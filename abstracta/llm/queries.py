@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver tables, with SQL where it can express them."""
+"""The thirteen operators as queries over the driver tables, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from abstracta.llm import chat, decontaminate, licenses, mixing, simhash, suffix, token_counts, topk, toxicity, warc
+from abstracta.llm import (
+    chat, decontaminate, filter_audit, licenses, mixing, prefix_trie, sentence_pieces, simhash, suffix, token_counts, topk,
+    toxicity, warc,
+)
 from abstracta.llm.common import stored
 from abstracta.session import table
 
@@ -228,3 +231,105 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op10_license_sentences", _license_sql(licenses.TEMPLATES + licenses.MORE_TEMPLATES))
 def op10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES + licenses.MORE_TEMPLATES)
+
+
+_TRIE_SQL = r"""
+WITH bytes AS (
+  SELECT conv_id, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+      lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda x, bit: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM bytes),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS own, p, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.p <= c.h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.p > c.h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, sha256(role || chr(0) || text) AS said,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, words, sha256(string_agg(said, '' ORDER BY depth) OVER
+    (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS node FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+members AS (
+  SELECT p.*, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS is_end FROM paths p
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs,
+    (count(*) - 1) * any_value(words) AS saved, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (is_end), '') AS ends
+  FROM members GROUP BY node),
+kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT p.node, sum(d.saved) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes d LEFT JOIN kids k ON k.parent = d.node JOIN paths p ON p.conv_id = d.conv_id AND p.depth <= d.depth GROUP BY p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+  b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below b USING (node) LEFT JOIN kids k ON k.parent = n.node LEFT JOIN nodes u ON u.node = n.parent
+"""
+
+
+@registered("op11_prefix_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.grafted(turns))
+
+
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN l USING (doc_id)),
+s AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, filter_order[:step - 1] AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, letter, s.*,
+    len(list_intersect(string_split(failed, ''), string_split(before, ''))) > 0 AND before <> '' AND failed <> '' AS gone,
+    contains(failed, letter) AS fails FROM steps, s),
+sums AS (
+  SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = letter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums
+"""
+
+
+@registered("op12_filter_audit", _AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.failed_sets(flags, table(spark, sf_dir, "labels")))
+
+
+@registered("op13_sentence_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

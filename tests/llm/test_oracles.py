@@ -16,4 +16,4 @@ def test_equals_sql(spark, key):
 
 
 def test_every_operator_is_registered():
-    assert [int(key.split("_")[0][2:]) for key in QUERIES] and {int(k.split("_")[0][2:]) for k in QUERIES} == set(range(1, 11))
+    assert [int(key.split("_")[0][2:]) for key in QUERIES] and {int(k.split("_")[0][2:]) for k in QUERIES} == set(range(1, 14))
