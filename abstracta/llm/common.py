@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abstracta.session import scratch_path
 
@@ -53,6 +53,22 @@ def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def shared(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """Broadcast an object of bounded size by its plain fields; a task calls the result.
+
+    A broadcast names classes, which executors without this package could not import; the class
+    travels with the task's function instead.
+    """
+    fields, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    def here() -> object:
+        made = kind.__new__(kind)
+        made.__dict__.update(fields.value)
+        return made
+
+    return here
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: cuts the plan, survives executors."""
     spark = frame.sparkSession

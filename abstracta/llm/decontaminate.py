@@ -8,32 +8,40 @@ words cannot be within the distance and are left out (each kept word of a passag
 its item, as often as there). The rest, and the items, take CGK walks: a random function of step and word says
 whether the walk repeats the word or goes on, which turns few edits into few differing places
 of equally long outputs. A table of the LSH samples some places of one walk's output; windows
-that agree with an item in one table are candidates. With ``WALKS`` walks of ``TABLES`` tables
-the tests measure the recall at the largest distance. Candidates are verified exactly by the
-bit-parallel edit distance over the region around them.
+that agree with an item in one table are candidates. Walks over long texts drift apart, so an
+item of over ``CHUNK_WORDS`` words is looked for by chunks of about that length: if the whole is
+within its share of edits, some chunk is within the same share of its own words, or their sum
+would be larger. With ``WALKS`` walks of ``TABLES`` tables the tests measure the recall at the
+largest distance, by length and kind of edit. Candidates are verified exactly by the
+bit-parallel edit distance of the whole item over the region around them.
+
+Items of so few words that their share allows no edit (under 5 at 0.2) are sought by equality:
+every window equal to them agrees in all tables. ``least_words`` leaves short ones out.
 
 Items travel with the tasks in blocks of at most ``BLOCK_BYTES`` of text; documents never move.
 
-Defined results: null texts hold nothing; items of under ``LEAST_WORDS`` words, null ones and
-those without an id take no part; of a repeated item id every row counts and the smallest
+Defined results: null texts hold nothing; items of under ``least_words`` words (1 for all but
+the empty ones; the default ``LEAST_WORDS`` is there because one or two words are in half the
+documents), null ones and those without an id take no part; of a repeated item id every row counts and the smallest
 distance in its block is told (rows of one id are dealt to one block); rows without a document id are reported with a null id; repeated rows are
 reported each; an empty table on either side finds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from abstracta.llm.common import FOLD, arrow_schema, as_batch, text_or_empty
+from abstracta.llm.common import FOLD, arrow_schema, as_batch, shared, text_or_empty
 
 SHARE = 0.2
 LEAST_WORDS = 5
 WALKS, TABLES, PLACES = 6, 10, 2
 STRETCH = 3
+CHUNK_WORDS = 60
 BAND = 1.12
 BLOCK_BYTES = 4 << 20
 #: Windows that are looked at together, and their words at most.
@@ -67,19 +75,22 @@ def edit_matches(item: list, region: list) -> tuple[int, int]:
 
 
 class Index:
-    """Items of one block, their words numbered and their walks in tables."""
+    """Items of one block, their words numbered and the walks of their chunks in tables."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], share: float, least_words: int = LEAST_WORDS) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.items = []
+        self.items: list[tuple[int, list[int], int]] = []
+        self.chunks: list[tuple[int, int, list[int]]] = []  # item, first word, words
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= LEAST_WORDS:
+            if len(words) >= max(1, least_words):
                 numbered = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+                parts = -(-len(words) // CHUNK_WORDS)
+                cuts = [len(words) * i // parts for i in range(parts + 1)]
+                self.chunks += [(len(self.items), a, numbered[a:b]) for a, b in pairwise(cuts)]
                 self.items.append((item_id, numbered, int(share * len(words) + 1e-9)))
-        self.items.sort(key=lambda item: len(item[1]))
         self.lengths: dict[int, list[int]] = {}
-        for number, (_, words, _) in enumerate(self.items):
+        for number, (_, _, words) in enumerate(self.chunks):
             self.lengths.setdefault(len(words), []).append(number)
         self.bands: list[list[int]] = []
         for length in sorted(self.lengths):
@@ -88,9 +99,9 @@ class Index:
             self.bands[-1].append(length)
         self.tables = {}
         for length, numbers in self.lengths.items():
-            words = np.array([self.items[n][1] for n in numbers], np.int64)
+            words = np.array([self.chunks[n][2] for n in numbers], np.int64)
             keys = lsh_keys(words.ravel(), np.arange(len(numbers)) * length, length)
-            allowed = self.items[numbers[0]][2]
+            allowed = int(share * length + 1e-9)
             vocabulary = np.zeros(len(self.numbers) + 1, bool)
             vocabulary[words.ravel()] = True
             # How often an item of this length holds a word at most.
@@ -194,10 +205,14 @@ def matches(index: Index, texts: list[str]) -> list[list[tuple[int, int, int, in
                     high = np.searchsorted(tables[table], keys[table], "right")
                     for hit in np.flatnonzero(high > low):
                         pairs.update((int(hit), int(n)) for n in numbers[table, low[hit] : high[hit]])
-                for hit, number in pairs:
+                for hit, chunk in pairs:
                     at = some[same == good[hit]]
                     docs = np.searchsorted(edges, at, "right") - 1
-                    spans = np.maximum(edges[docs], at - allowed), np.minimum(edges[docs + 1], at + length + 2 * allowed)
+                    number, offset, _ = index.chunks[chunk]
+                    _, item, slack = index.items[number]
+                    # Where the whole item may lie: the chunk and what stands before it may have shifted.
+                    begin, upto = at - offset - slack - allowed, at - offset + len(item) + slack + allowed
+                    spans = np.maximum(edges[docs], begin), np.minimum(edges[docs + 1], upto)
                     for doc, start, end in zip(docs.tolist(), spans[0].tolist(), spans[1].tolist()):
                         regions.setdefault((doc, number), []).append([start, end])
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -256,16 +271,16 @@ def _tasks(index: Index, batches, text_column: str):
             start = end
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, item_id, distance, item_words, last_word`` of every item found in a document."""
     spark, schema = docs.sparkSession, arrow_schema(FOUND)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     result = spark.createDataFrame([], FOUND)
     for items in item_blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(items, share))
+        index = shared(spark, Index(items, share, least_words))
 
         def task(batches, index=index):
-            for batch, found in _tasks(index.value, batches, "text"):
+            for batch, found in _tasks(index(), batches, "text"):
                 ids = batch.column("doc_id").to_pylist()
                 yield as_batch([(i, *row) for i, mine in zip(ids, found) for row in mine], schema)
 
@@ -273,14 +288,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -
     return result
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they are."""
     spark = docs.sparkSession
     for items in item_blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(items, share))
+        index = shared(spark, Index(items, share, least_words))
 
         def task(batches, index=index):
-            for batch, found in _tasks(index.value, batches, "text"):
+            for batch, found in _tasks(index(), batches, "text"):
                 yield batch.filter(pa.array([not mine for mine in found], pa.bool_()))
 
         docs = docs.mapInArrow(task, docs.schema)

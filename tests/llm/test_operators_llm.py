@@ -277,6 +277,36 @@ def test_decontamination_recall_at_the_largest_distance():
     assert not any(decontaminate.matches(index, [" ".join(some(500))])[0])
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "substitutions"])
+@pytest.mark.parametrize("length", [15, 61, 150, 200, 400])
+def test_decontamination_recall_by_length_and_kind(length, kind):
+    """Planted at exactly the allowed distance; 0.95 asked for, see the README for the figures."""
+    rng = random.Random(f"{length} {kind}")
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    n = 40
+    items = [some(length) for _ in range(n)]
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)], 0.2)
+    texts = []
+    for words in items:
+        words, edits = list(words), int(0.2 * length)
+        places = rng.sample(range(length), edits)
+        for place in sorted(places, reverse=True):
+            words[place : place + (kind != "insertions")] = [] if kind == "deletions" else some(1)
+        texts.append(" ".join(some(30) + words + some(30)))
+    found = decontaminate.matches(index, texts)
+    hits = sum(any(m[0] == i for m in mine) for i, mine in enumerate(found))
+    print(f"recall {length} {kind} {hits / n:.3f}")
+    assert hits >= 0.95 * n
+
+
+def test_decontamination_of_items_too_short_for_an_edit():
+    items = [(1, "one"), (2, "two words"), (3, "three small words"), (4, "now four small words"), (5, "")]
+    index = decontaminate.Index(items, 0.2, least_words=1)
+    found = decontaminate.matches(index, ["he said two words, not One", "three tiny words", "now four small words three small words", ""])
+    assert [sorted(i for i, *_ in rows) for rows in found] == [[1, 2], [], [3, 4], []]
+    assert decontaminate.Index(items, 0.2).items == []
+
+
 def test_decontamination_query_equals_brute_force(spark, sf_dir):
     docs = [(r["doc_id"], decontaminate.words_of(r["text"])) for r in table(spark, sf_dir, "documents").collect()]
     items = [(r["item_id"], decontaminate.words_of(r["text"])) for r in table(spark, sf_dir, "benchmark").collect()]
@@ -311,6 +341,17 @@ def test_decontamination_of_long_items_in_small_steps(monkeypatch):
     assert [sorted((i, d) for i, d, *_ in rows) for rows in found] == [[(1, 0), (2, 0)], [(2, 0)], []]
 
 
+def test_decontamination_with_repeated_items_and_clashing_columns(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, "nothing here"), (1, f"x {passage} y")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("item_id", "distance", "item_words")})
+    items = spark.createDataFrame([(7, passage), (7, passage + " iota"), (7, passage), (8, passage)], "item_id long, text string")
+    items = items.withColumns({c: F.lit("x") for c in ("doc_id", "n_chars", "lang")})
+    found = [tuple(r)[:3] for r in decontaminate.contamination(docs, items).collect()]
+    assert sorted(found) == [(1, 7, 0), (1, 7, 0), (1, 8, 0), (1, 8, 0)]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [2]
+
+
 # -- 7: chat -------------------------------------------------------------------------------
 
 
