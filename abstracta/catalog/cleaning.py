@@ -190,7 +190,7 @@ def require_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.require_query_text(queries).select("conv_id", "turn", "error")
 
 
-_NAMES = "list_filter(list_transform(string_split(title, ','), lambda x: trim(x, " + SQL_SPACES + ")), lambda x: x <> '')"
+_NAMES = "list_filter(list_transform(string_split(abstract, ','), lambda x: trim(x, " + SQL_SPACES + ")), lambda x: x <> '')"
 
 
 @registered("split_authors", f"""
@@ -198,20 +198,21 @@ WITH {PAPERS_SQL}
 SELECT doc_id, array_to_string({_NAMES}, '|') AS authors, CAST(len({_NAMES}) AS INT) AS n FROM papers
 """)
 def split_author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = papers(spark, sf_dir, heavy=True).select("doc_id", split_authors(F.col("title")).alias("a"))
+    listed = papers(spark, sf_dir, heavy=True).select("doc_id", split_authors(F.col("abstract")).alias("a"))
     return listed.select("doc_id", F.array_join("a", "|").alias("authors"), F.size("a").alias("n"))
 
 
 @registered("nonempty_authors", f"""
-WITH {PAPERS_SQL}, listed AS (SELECT doc_id, ',, ' || replace(abstract, '.', ',') AS title FROM papers)
-SELECT doc_id, CAST(len({_NAMES}) AS INT) AS n FROM listed
+WITH {PAPERS_SQL}, listed AS (SELECT doc_id, ',, ' || replace(abstract, '.', ',') AS abstract FROM papers)
+SELECT doc_id, array_to_string({_NAMES}, '|') AS authors, CAST(len({_NAMES}) AS INT) AS n FROM listed
 """)
 def nonempty_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.concat(F.lit(",, "), F.replace(F.col("abstract"), F.lit("."), F.lit(",")))
-    return papers(spark, sf_dir, heavy=True).select("doc_id", F.size(split_authors(names)).alias("n"))
+    listed = papers(spark, sf_dir, heavy=True).select("doc_id", split_authors(names).alias("a"))
+    return listed.select("doc_id", F.array_join("a", "|").alias("authors"), F.size("a").alias("n"))
 
 
-_WORDS = "regexp_extract_all(title, '[a-zA-Z]+')"
+_WORDS = "regexp_extract_all(abstract, '[a-zA-Z]+')"
 
 
 @registered("parse_keywords", f"""
@@ -223,7 +224,7 @@ kw AS (
 SELECT doc_id, array_to_string(keywords, '|') AS keywords, CAST(len(keywords) AS INT) AS n FROM kw
 """)
 def parse_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all("title", F.lit("([a-zA-Z]+)"), F.lit(1))
+    words = F.regexp_extract_all("abstract", F.lit("([a-zA-Z]+)"), F.lit(1))
     single, double = F.array_join(words, "', '"), F.array_join(words, '", "')
     raw = (
         F.when(F.size(words) == 0, F.when(F.col("lang").isin("en", "fr"), "[]").when(F.col("lang") == "de", "").otherwise("['"))
@@ -241,13 +242,13 @@ _CASED = "upper(w[1]) || lower(w[2:])"
 
 @registered("format_keywords", f"""
 WITH {PAPERS_SQL}
-SELECT doc_id, array_to_string(list_transform(list_filter(string_split(replace(title, ',', ' ,'), ' '), lambda k: k <> ''),
-         lambda k: array_to_string(list_transform(regexp_extract_all(k, '[a-zA-Zà-öø-ÿÀ-ÖØ-ß]+|[^a-zA-Zà-öø-ÿÀ-ÖØ-ß]+'),
+SELECT doc_id, array_to_string(list_transform(list_filter(string_split(replace(abstract, ',', ' ,'), ' '), lambda k: k <> ''),
+         lambda k: array_to_string(list_transform(regexp_extract_all(trim(k, {SQL_SPACES}), '[a-zA-Zà-öø-ÿÀ-ÖØ-ß]+|[^a-zA-Zà-öø-ÿÀ-ÖØ-ß]+'),
            lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' || lower(w[2:]) ELSE {_CASED} END), '')), ' ') AS keywords
 FROM papers
 """)
 def format_keyword_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.replace(F.col("title"), F.lit(","), F.lit(" ,")), " ")
+    words = F.split(F.replace(F.col("abstract"), F.lit(","), F.lit(" ,")), " ")
     return papers(spark, sf_dir, heavy=True).select("doc_id", F.array_join(format_keywords(words), " ").alias("keywords"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abstracta.catalog.registry import registered
-from abstracta.catalog.searching import TEXT_PAIRS_SQL, ranked_sql, terms_sql
+from abstracta.catalog.searching import COSINE_SQL, DIM, TEXT_PAIRS_SQL, ranked_sql, terms_sql
+from abstracta.operators.ann import cell_centroids
+from abstracta.operators.cell_tree import BREADTH, tree_of
 from abstracta.plans import index
-from abstracta.plans.search import search_collection
+from abstracta.plans.search import search_cells, search_collection
 from abstracta.session import scratch_path, spread, table
 from abstracta.streaming.incremental import incremental_index
 
@@ -108,6 +110,46 @@ def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
+_GROUPS, _BREADTH, _PROBES = 5, 2, 3
+_NEAR = "row_number() OVER (PARTITION BY a.vec_id ORDER BY round({0}, 6), {1})"
+_CELLS_SQL = f"""means AS (
+  SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, {DIM + 1})) AS i FROM embeddings)
+  GROUP BY label, i),
+centroids AS (SELECT label AS cell, label % {_GROUPS} AS grp, list(m ORDER BY i) AS embedding FROM means GROUP BY label),
+centers AS (SELECT grp, list(m ORDER BY i) AS embedding FROM (SELECT label % {_GROUPS} AS grp, i, avg(m) AS m FROM means GROUP BY ALL) GROUP BY grp),
+groups AS (
+  SELECT a.vec_id, a.embedding, b.grp, {_NEAR.format(COSINE_SQL, "b.grp")} AS r FROM embeddings a, centers b),
+probes AS (
+  SELECT a.vec_id, a.embedding, b.cell, {_NEAR.format(COSINE_SQL, "b.cell")} AS r
+  FROM groups a JOIN centroids b ON a.grp = b.grp WHERE a.r <= {_BREADTH}),
+cells AS (
+  SELECT a.vec_id, a.embedding, b.cell, {_NEAR.format(COSINE_SQL, "b.cell")} AS r
+  FROM groups a JOIN centroids b ON a.grp = b.grp WHERE a.r <= {BREADTH})"""
+
+
+@registered("search_cells", f"""
+WITH {_CELLS_SQL},
+near AS (
+  SELECT a.vec_id AS query_id, CAST(b.vec_id AS VARCHAR) AS id, round({COSINE_SQL}, 6) + 0.0 AS distance
+  FROM probes a JOIN cells b ON a.cell = b.cell WHERE a.r <= {_PROBES} AND b.r = 1 AND a.vec_id % 3 = 0),
+{ranked_sql('hits', 'near', 10)} SELECT query_id, id, rank, distance FROM hits
+""")
+def inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads into the cells of given centroids, then a search that reads the probed folders."""
+    root, vectors = _store(spark), table(spark, sf_dir, "embeddings")
+    centroids = cell_centroids(vectors, "label").withColumn("grp", F.col("cell") % _GROUPS)
+    index.store_cells(root, "cells-64", tree_of(centroids, "grp"))
+    for load in (0, 1):
+        rows = vectors.where(F.col("vec_id") % 2 == load).select(
+            F.col("vec_id").cast("string").alias("id"), F.lit(None).cast("string").alias("document"),
+            F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), "embedding",
+        )
+        index.index_append(rows, root, "cells-64", lambda rows: rows, f"load{load}")
+    queries = vectors.where(F.col("vec_id") % 3 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = search_cells(spark, root, "cells-64", queries, 10, _PROBES, breadth=_BREADTH)
+    return hits.select("query_id", "id", "rank", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @registered("list_collections", f"""
 SELECT 'dense-64' AS model, count(*) AS n FROM embeddings UNION ALL SELECT '{_MODEL}', count(*) FROM documents
 """)

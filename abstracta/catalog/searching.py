@@ -11,6 +11,7 @@ from abstracta.operators.embed import (
     TERM_BUCKETS, embed_text, embedding_function, explode_terms, get_model, hashed_dense_model, register_model,
 )
 from abstracta.operators.knn import knn_join
+from abstracta.operators.postings import postings_search
 from abstracta.operators.ranking import paginate
 from abstracta.plans.search import search_records, text_topk_search, vector_search
 from abstracta.session import spread, table
@@ -167,10 +168,7 @@ WITH {TEXT_PAIRS_SQL}, {ranked_sql('hits', 'pairs', 10)} SELECT query_id, id, ra
 def sparse_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = embed_text(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "text")
     docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    corpus = embed_text(docs, "text")
-    return _rounded_hits(
-        knn_join(queries, corpus, 10, TERM_BUCKETS, query_vector="terms", item_vector="terms")
-    )
+    return _rounded_hits(postings_search(queries, embed_text(docs, "text"), 10))
 
 
 @registered("text_topk_search", f"""

@@ -61,24 +61,34 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def distances(queries: np.ndarray, items: np.ndarray, space: str) -> np.ndarray:
-    """Distance of every query to every item of one block; a zero vector is at cosine distance 1."""
+    """Distance of every query to every item of one block.
+
+    A zero vector is at cosine distance 1; one with a NaN or infinite value is infinitely far.
+    """
+    known = [np.isfinite(side.sum(axis=1)) for side in (queries, items)]
     if space == "cosine":
         block = _unit(queries) @ _unit(items).T
-        return np.subtract(1.0, block, out=block)
-    block = queries @ items.T
-    block *= -2.0
-    block += np.einsum("ij,ij->i", queries, queries)[:, None]
-    block += np.einsum("ij,ij->i", items, items)[None, :]
-    return np.maximum(block, 0.0, out=block)
+        block = np.subtract(1.0, block, out=block)
+    else:
+        block = queries @ items.T
+        block *= -2.0
+        block += np.einsum("ij,ij->i", queries, queries)[:, None]
+        block += np.einsum("ij,ij->i", items, items)[None, :]
+        block = np.maximum(block, 0.0, out=block)
+    if not (known[0].all() and known[1].all()):
+        block[~known[0], :] = np.inf
+        block[:, ~known[1]] = np.inf
+    return block
 
 
 def pair_distances(queries: np.ndarray, items: np.ndarray, space: str) -> np.ndarray:
     """Distance of each query row to the item row beside it."""
+    known = np.isfinite(queries.sum(axis=1) + items.sum(axis=1))
     if space == "l2sq":
-        return np.square(queries - items).sum(axis=1)
+        return np.where(known, np.square(queries - items).sum(axis=1), np.inf)
     lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries) * np.einsum("ij,ij->i", items, items))
     products = np.einsum("ij,ij->i", queries, items)
-    return 1.0 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0)
+    return np.where(known, 1.0 - np.divide(products, lengths, out=np.zeros_like(products), where=lengths > 0), np.inf)
 
 
 def distance_to(vector: Column, query: Sequence[float], space: str = "cosine") -> Column:
@@ -232,7 +242,8 @@ def knn_join(
 
     Ranks by distance to ``digits`` digits, then id, so results do not depend on the order
     of additions or of tasks. Rows without a vector and corpus rows without an id are left
-    out; of a repeated id the nearest row counts. ``cells`` names an
+    out, as are vectors with a NaN or infinite value; of a repeated id the nearest row counts.
+    ``k`` below 1 finds nothing. ``cells`` names an
     ``array<bigint>`` column of both sides and restricts the search to pairs that share a
     cell.
     """
@@ -254,6 +265,8 @@ def knn_join(
         # As terms, a query of any length has a bounded size.
         q = _embedded(q, "q_vector", dim)
     schema = result_schema(queries, query_id, corpus, item_id)
+    if int(k) < 1:
+        return queries.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType(), False)]))
     row_bytes = dim * 8
     n_queries, most = q.count(), max(1, held // int(k))
     if n_queries * row_bytes <= broadcast_bytes and n_queries <= most:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from abstracta.functions.text import safe_filename, strip_text
 from abstracta.operators.ranking import dense_position
-from abstracta.sources.textfiles import export_block, write_ordered_text
+from abstracta.session import scratch_path
+from abstracta.sources.textfiles import export_block
 
 # Fixed patterns of the export format. White space may cross line ends, so an empty field
 # takes the next line; a link counts only if it ends in .pdf.
@@ -81,11 +83,30 @@ def write_bibtex(entries: DataFrame, order: Sequence[str], path: str, rows_per_f
     """Write entries a blank line apart, one line feed after the last; no entry is an error.
 
     Part files in name order are the ``.bib`` text; up to ``rows_per_file`` entries are one
-    file.
+    file. Entries stand in ``order`` (null first), ties in order of their text; null and empty
+    ones are left out. The input is evaluated once: it is landed in the shared folder, and
+    counted and sorted from there.
     """
-    last, n = entries.agg(F.max(F.struct(*order)), F.count("*")).head()
+    spark, named = entries.sparkSession, [f"_by{i}" for i in range(len(order))]
+    wanted = entries.where(F.col("bibtex") != "").select(*[F.col(c).alias(n) for c, n in zip(order, named)], "bibtex")
+    landed_at = scratch_path(spark, "bibtex-entries")
+    wanted.write.parquet(landed_at)
+    landed = spark.read.schema(wanted.schema).parquet(landed_at)
+    n = landed.count()
     if not n:
         raise ValueError("No BibTeX entries found in the input.")
-    is_last = reduce(lambda a, b: a & b, [F.col(c) == F.lit(last[c]) for c in order])
-    spaced = entries.withColumn("_value", F.when(is_last, F.col("bibtex")).otherwise(F.concat("bibtex", F.lit("\n"))))
-    write_ordered_text(spaced, "_value", order, path, rows_per_file, n)
+
+    def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The first range holds the smallest entry, the only one without a line feed in front.
+        first = TaskContext.get().partitionId() == 0
+        for batch in batches:
+            if batch.num_rows:
+                lines = ["\n" + text for text in batch.column(0).to_pylist()]
+                lines[0] = lines[0][1:] if first else lines[0]
+                first = False
+                yield pa.RecordBatch.from_pydict({"value": lines})
+
+    files = max(1, -(-n // rows_per_file))
+    ranged = landed.repartitionByRange(files, *named, "bibtex").sortWithinPartitions(*named, "bibtex")
+    lines = ranged.select("bibtex").mapInArrow(spaced, "value string")
+    lines.write.mode("errorifexists").option("lineSep", "\n").text(path)

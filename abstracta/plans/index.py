@@ -1,7 +1,11 @@
-"""Vector tables: one folder per model, one sub-folder per load.
+"""Vector tables: a folder for each model, in it one for each cell, in it one for each load.
 
-``<root>/model=<name>/batch=<load>/*.parquet``. A load that runs again overwrites its own
-folder only, which makes appends and stream batches repeatable.
+``<root>/model=<name>/cell=<number>/batch=<load>/*.parquet``. A load that runs again overwrites
+its own folders only, which makes appends and stream batches repeatable.
+
+A collection with trained cells is an inverted file: its centroids are tables beside the
+vectors (``<root>/_cells``), every load puts each vector into the folder of its cell, and a
+search reads the folders of the cells that it probes. Without cells all is in cell -1.
 """
 
 from __future__ import annotations
@@ -10,13 +14,16 @@ import re
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from abstracta.operators.cell_tree import GROUPS, CellTree, assigned
 from abstracta.operators.embed import embed_text, embedding_function, get_model
 from abstracta.operators.ranking import dedup_first_seen
 from abstracta.schema import VECTORS
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+NO_CELL = -1
 Embedder = Callable[[DataFrame], DataFrame]
 
 
@@ -39,7 +46,7 @@ def _folder(root: str, model: str) -> str:
 
 def create_store(spark: SparkSession, root: str) -> None:
     """An empty store, unless there is one."""
-    spark.createDataFrame([], VECTORS).write.mode("ignore").partitionBy("model", "batch").parquet(root)
+    spark.createDataFrame([], VECTORS).write.mode("ignore").partitionBy("model", "cell", "batch").parquet(root)
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
@@ -59,28 +66,84 @@ def open_collection(spark: SparkSession, root: str, model: str) -> DataFrame:
     return found
 
 
-def _stored(vectors: DataFrame) -> DataFrame:
-    fields = [f for f in VECTORS.fields if f.name not in ("model", "batch")]
+def identified(rows: DataFrame) -> DataFrame:
+    """Rows without an id are known by their text: the id becomes ``text:`` and its SHA-256."""
+    by_text = F.concat(F.lit("text:"), F.sha2(F.coalesce("document", F.lit("")).cast("binary"), 256))
+    return rows.withColumn("id", F.coalesce(F.col("id").cast("string"), by_text))
+
+
+def _stored(vectors: DataFrame, root: str, model: str) -> DataFrame:
+    fields = [f for f in VECTORS.fields if f.name not in ("model", "cell", "batch")]
     present = vectors.columns
-    return vectors.select(
+    rows = vectors.select(
         *[
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in fields
         ]
     )
+    tree = stored_cells(vectors.sparkSession, root, model)
+    if tree is None:
+        return rows.withColumn("cell", F.lit(NO_CELL).cast("bigint"))
+    # A vector that is null, or has no direction, is in no cell.
+    rows = assigned(rows, tree, tree_dim(tree)).withColumn("cell", F.coalesce(F.try_element_at("cells", F.lit(1)), F.lit(NO_CELL)))
+    # The rows of a cell meet, so that a load writes few files; a hot cell is cut by the hint.
+    return rows.drop("cells").hint("rebalance", "cell")
+
+
+def _cells_path(root: str, model: str) -> str:
+    return _folder(f"{root}/_cells", model)  # a name that readers of the store pass over
+
+
+def store_cells(root: str, model: str, tree: CellTree) -> None:
+    """Keep the centroids of a collection; what is loaded from now on goes by cell.
+
+    Vectors loaded before keep the cells they have: rebuild the collection, or train first.
+    """
+    path = _cells_path(root, model)
+    tree.centroids.withColumn("space", F.lit(tree.space)).write.mode("overwrite").parquet(f"{path}/centroids")
+    tree.groups.write.mode("overwrite").parquet(f"{path}/groups")
+
+
+def stored_cells(spark: SparkSession, root: str, model: str) -> CellTree | None:
+    """The collection's centroids, or None."""
+    path = _cells_path(root, model)
+    try:
+        centroids = spark.read.parquet(f"{path}/centroids")
+    except AnalysisException:
+        return None
+    space = centroids.select("space").head()
+    return CellTree(centroids.drop("space"), spark.read.schema(GROUPS).parquet(f"{path}/groups"), space[0] if space else "cosine")
+
+
+def store_probes(spark: SparkSession, root: str, model: str, probes: int) -> None:
+    """Keep the number of cells that a search of the collection probes."""
+    spark.createDataFrame([(probes,)], "probes int").write.mode("overwrite").parquet(f"{_cells_path(root, model)}/probes")
+
+
+def stored_probes(spark: SparkSession, root: str, model: str) -> int | None:
+    try:
+        row = spark.read.parquet(f"{_cells_path(root, model)}/probes").head()
+    except AnalysisException:
+        return None
+    return row[0] if row else None
+
+
+def tree_dim(tree: CellTree) -> int:
+    first = tree.groups.select(F.size("center")).head()
+    return first[0] if first else 0
 
 
 def index_append(rows: DataFrame, root: str, model: str, embed: Embedder = hashed_terms, batch: str | None = None) -> None:
     """Embed and add ``id, document, metadata`` rows. A given ``batch`` replaces itself."""
-    loaded = _stored(embed(rows)).withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+    loaded = _stored(embed(identified(rows)), root, model).withColumn("batch", F.lit(batch or uuid.uuid4().hex))
     writer = loaded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("batch").parquet(_folder(root, model))
+    writer.partitionBy("cell", "batch").parquet(_folder(root, model))
 
 
 def index_rebuild(rows: DataFrame, root: str, model: str, embed: Embedder = hashed_terms) -> None:
     """Replace the whole collection of one model; other models stay."""
-    loaded = _stored(embed(rows)).withColumn("batch", F.lit("rebuild"))
-    loaded.write.mode("overwrite").partitionBy("batch").parquet(_folder(root, model))
+    loaded = _stored(embed(identified(rows)), root, model).withColumn("batch", F.lit("rebuild"))
+    loaded.write.mode("overwrite").partitionBy("cell", "batch").parquet(_folder(root, model))
 
 
 def unseen(rows: DataFrame, existing: DataFrame, key: str = "id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -103,10 +166,12 @@ def index_resume(
 ) -> None:
     """Embed and add only rows whose id is not stored yet; running it again adds nothing.
 
-    Among several rows of one id, the one with the lowest document hash is taken. The load's
+    Among several rows of one id, the one with the lowest document hash is taken; a row without
+    an id is known by its text (``identified``). The load's
     own folder does not count as stored, so a repeated load gives the same rows.
     """
     load = batch or uuid.uuid4().hex
+    rows = identified(rows)
     stored = read_store(rows.sparkSession, root).where((F.col("model") == model) & (F.col("batch") != load))
     # Stored ids go first, so the exchange of the second step carries new documents only.
     fresh = dedup_first_seen(unseen(rows, stored), "id", F.xxhash64("document"))

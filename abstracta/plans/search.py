@@ -12,7 +12,8 @@ from abstracta.operators.clean import fill_defaults, require_query_text
 from abstracta.operators.embed import TERM_BUCKETS, embed_text, embedding_function, get_model
 from abstracta.operators.knn import distance_to, knn_join
 from abstracta.operators.ranking import topk_search
-from abstracta.plans.index import open_collection
+from abstracta.operators.cell_tree import assigned
+from abstracta.plans.index import open_collection, read_store, store_probes, stored_cells, stored_probes, tree_dim
 from abstracta.schema import DISPLAY_DEFAULTS
 from abstracta.session import checkpointed
 
@@ -46,13 +47,19 @@ def text_topk_search(
 def search_collection(
     spark: SparkSession, root: str, model: str, queries: DataFrame, k: int = 50, *, where: Column | None = None,
     dense: bool = False, api_key: str = "", query_id: str = "query_id", text: str = "text", dim: int = TERM_BUCKETS,
+    nprobe: int | None = None,
 ) -> DataFrame:
     """``k`` nearest stored vectors of each query text: ``query_id, id, distance, rank``.
 
     The queries are embedded with the model of the collection and meet its stored vectors;
     documents are not read. ``dense`` collections were loaded with the registered ``model``,
-    the others with hashed terms. ``where`` is a condition on ``id`` and ``metadata``.
+    the others with hashed terms. ``where`` is a condition on ``id`` and ``metadata``. With
+    ``nprobe`` a dense collection that has cells is searched in so many of them.
     """
+    if dense and nprobe is not None:
+        asked = require_query_text(queries, text).where("error is null")
+        asked = asked.withColumn("embedding", embedding_function(get_model(model, api_key))(text))
+        return search_cells(spark, root, model, asked, k, nprobe, where=where, query_id=query_id)
     stored = open_collection(spark, root, model)
     stored = stored if where is None else stored.where(where)
     asked = require_query_text(queries, text).where("error is null")
@@ -64,6 +71,62 @@ def search_collection(
     return knn_join(asked, stored, k, dim, query_id=query_id, query_vector="terms", item_vector="terms")
 
 
+def search_cells(
+    spark: SparkSession, root: str, model: str, queries: DataFrame, k: int = 50, nprobe: int | None = None, *,
+    where: Column | None = None, query_id: str = "query_id", vector: str = "embedding", breadth: int | None = None,
+    digits: int = 6, **blocks: int,
+) -> DataFrame:
+    """``k`` nearest stored vectors of each query vector within the ``nprobe`` cells nearest to it.
+
+    ``nprobe`` is by default the number that ``tune_cells`` has measured, or else all cells;
+    ``breadth`` the groups whose cells are compared with a query, by default all.
+    Only the folders of probed cells are read. The probed cells that the driver lists are at
+    most as many as the folders, which it lists anyway. A cell is searched whole.
+    """
+    tree = stored_cells(spark, root, model)
+    if tree is None:
+        raise ValueError(f"No cells are stored for model: {model}")
+    dim, most = tree_dim(tree), tree.centroids.count()
+    nprobe = nprobe or stored_probes(spark, root, model) or most
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("embedding"))
+    probing = checkpointed(assigned(asked, tree, dim, nprobe, breadth or most, digits=digits))
+    probed = [row[0] for row in probing.select(F.explode("cells")).distinct().collect()]
+    stored = read_store(spark, root).where((F.col("model") == model) & F.col("cell").isin(probed))
+    stored = stored if where is None else stored.where(where)
+    held = stored.select("id", "embedding", F.array("cell").alias("cells"))
+    return knn_join(probing, held, k, dim, tree.space, cells="cells", digits=digits, **blocks)
+
+
+def tune_cells(
+    spark: SparkSession, root: str, model: str, recall: float = 0.9, k: int = 10, queries: int = 200
+) -> int:
+    """Measure how many cells must be probed to find ``recall`` of the ``k`` nearest, and keep it.
+
+    Stored vectors (at most about ``queries``, drawn by a hash of their id) ask for their exact
+    neighbours in the whole collection. A neighbour is found as soon as its cell is probed, so
+    its cell's place in the order of the query's cells tells the recall of every number.
+    """
+    tree = stored_cells(spark, root, model)
+    if tree is None:
+        raise ValueError(f"No cells are stored for model: {model}")
+    dim, most = tree_dim(tree), tree.centroids.count()
+    stored = read_store(spark, root).where((F.col("model") == model) & (F.col("cell") >= 0)).select("id", "embedding", "cell")
+    share = min(1.0, queries / max(1, stored.count()))
+    asked = stored.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    asked = checkpointed(assigned(asked.select(F.col("id").alias("query_id"), "embedding"), tree, dim, most, most))
+    near = knn_join(asked.select("query_id", "embedding"), stored, k, dim, tree.space).select("query_id", "id")
+    places = asked.select("query_id", F.posexplode("cells").alias("place", "cell"))
+    met = stored.select("id", "cell").join(F.broadcast(near), "id")  # at most queries times k rows
+    found = met.join(places, ["query_id", "cell"]).groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()
+    wanted, probes = recall * sum(row["n"] for row in found), 1
+    for row in found:  # a row for each place at most
+        if wanted <= 0:
+            break
+        wanted, probes = wanted - row["n"], row["place"] + 1
+    store_probes(spark, root, model, probes)
+    return probes
+
+
 def collection_papers(stored: DataFrame) -> DataFrame:
     """Stored rows as papers: the metadata map's fields beside id and abstract."""
     fields = [F.col("metadata")[name].alias(name) for name in ("title", "keywords", "pdf", "bibtex")]

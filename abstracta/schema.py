@@ -49,6 +49,7 @@ VECTORS = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("terms", T.ArrayType(TERM)),
         T.StructField("model", T.StringType()),
+        T.StructField("cell", T.LongType()),
         T.StructField("batch", T.StringType()),
     ]
 )

@@ -179,6 +179,24 @@ def test_bib_file(spark, tmp_path, rows_per_file, files):
     assert len(parts) == files
 
 
+def test_bib_file_with_ties_and_nulls_evaluates_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, "@a{1}"), (1, "@b{1}"), (1, "@a{1}"), (None, "@n{0}"), (2, None), (0, ""), (2, "@c{2}")]
+    entries = spark.createDataFrame(rows, "pos int, bibtex string")
+    exports.write_bibtex(entries.mapInArrow(watched, entries.schema), ["pos"], str(tmp_path / "b"), 2)
+    parts = sorted((tmp_path / "b").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "\n\n".join(["@n{0}", "@a{1}", "@a{1}", "@b{1}", "@c{2}"]) + "\n"
+    assert len(parts) > 1 and seen.value == len(rows)
+    with pytest.raises(ValueError, match="No BibTeX"):
+        exports.write_bibtex(entries.where("bibtex is null"), ["pos"], str(tmp_path / "c"))
+
+
 def test_no_bibtex_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="No BibTeX"):
         exports.write_bibtex(spark.createDataFrame([], "pos int, bibtex string"), ["pos"], str(tmp_path / "b"))
@@ -221,6 +239,19 @@ def test_repeated_load_replaces_itself(spark, tmp_path):
     assert stored_ids(spark, root) == [1, 2, 3]
 
 
+def test_rows_without_an_id_are_known_by_their_text(spark, tmp_path):
+    root = str(tmp_path / "v")
+    index.create_store(spark, root)
+    rows = spark.createDataFrame(
+        [(None, "a", {}), (None, "b", {}), (None, "a", {}), (None, None, {}), ("1", "a", {})],
+        "id string, document string, metadata map<string,string>",
+    )
+    for _ in range(3):
+        index.index_resume(rows, root, "m")
+    stored = index.open_collection(spark, root, "m").select("id", "document").collect()
+    assert sorted((r["document"] or "", len(r["id"])) for r in stored) == [("", 69), ("a", 1), ("a", 69), ("b", 69)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, root, state = (str(tmp_path / name) for name in ("s", "v", "c"))
     for ids in ([1, 2, 3], [2, 3, 4], []):
@@ -246,7 +277,10 @@ def test_replayed_stream_batch_changes_nothing(spark, tmp_path):
 
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     class Cluster:
-        applicationId, master = "app-x", "yarn"
+        applicationId, master, folder = "app-x", "yarn", None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.folder
 
     class Session:
         sparkContext = Cluster()
@@ -256,5 +290,7 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+    Cluster.folder = "hdfs:///context/uuid/"
+    assert session.scratch_path(Session(), "x").startswith("hdfs:///context/uuid/x-")
     Session.conf.get = staticmethod(lambda _key, _default: "hdfs:///shared/")
     assert session.scratch_path(Session(), "x").startswith("hdfs:///shared/x-")

@@ -232,3 +232,16 @@ def test_unseen_both_join_forms(spark, limit):
     rows = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
     stored = spark.createDataFrame([("b",), ("x",)], "id string")
     assert sorted(r["id"] for r in unseen(rows, stored, broadcast_bytes=limit).collect()) == ["a", "c"]
+
+
+def test_knn_without_results_and_with_unusable_vectors(spark):
+    corpus = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("nan", [float("nan"), 1.0]), ("inf", [float("inf"), 1.0]), ("zero", [0.0, 0.0])], "id string, embedding array<float>"
+    )
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 0.0])], "query_id long, embedding array<float>")
+    for blocks in ({}, {"broadcast_bytes": 0}):
+        for space in ("cosine", "l2sq"):
+            found = knn_join(queries, corpus, 9, 2, space, **blocks).collect()
+            assert sorted((r["query_id"], r["id"]) for r in found) == [(1, "a"), (1, "zero")]
+        assert knn_join(queries, corpus, 0, 2, **blocks).collect() == []
+    assert knn_join(queries, corpus, 0, 2).columns == ["query_id", "id", "distance", "rank"]
