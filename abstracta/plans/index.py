@@ -54,16 +54,45 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_collections(spark: SparkSession, root: str) -> DataFrame:
-    """Models and their sizes."""
-    return read_store(spark, root).groupBy("model").agg(F.count("*").alias("n"))
+    """Models and their sizes, without superseded rows."""
+    return without_superseded(read_store(spark, root), root).groupBy("model").agg(F.count("*").alias("n"))
 
 
 def open_collection(spark: SparkSession, root: str, model: str) -> DataFrame:
-    """Vectors of one model; other models' folders are not read. Unknown names are errors."""
+    """Vectors of one model, without superseded rows; other models' folders are not read.
+
+    Unknown names are errors.
+    """
     found = read_store(spark, root).where(F.col("model") == model)
     if found.isEmpty():
         raise ValueError(f"Unknown model: {model}")
-    return found
+    return without_superseded(found, root)
+
+
+def store_superseded(rows: DataFrame, root: str, model: str, batch: str) -> None:
+    """List ``id, version`` rows of a collection that a newer version replaces."""
+    writer = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch").parquet(_folder(f"{root}/_superseded", model))
+
+
+def without_superseded(stored: DataFrame, root: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Stored rows that no newer version replaces. A row that was loaded without one has version 1.
+
+    What is listed is small beside the store, and broadcast if it is counted to fit.
+    """
+    spark = stored.sparkSession
+    schema = "id string, version long, model string, batch string"
+    try:
+        listed = spark.read.schema(schema).parquet(f"{root}/_superseded").select("model", "id", "version").distinct()
+    except AnalysisException:  # nothing was ever listed
+        return stored
+    count, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("id")), F.lit(0))).head()
+    if not count:
+        return stored
+    named = listed.withColumnsRenamed({"model": "_model", "id": "_id", "version": "_version"})
+    side = F.broadcast(named) if size + 48 * count <= broadcast_bytes else named
+    same = (F.col("model") == F.col("_model")) & (F.col("id") == F.col("_id")) & (F.coalesce("version", F.lit(1)) == F.col("_version"))
+    return stored.join(side, same, "left_anti")
 
 
 def identified(rows: DataFrame) -> DataFrame:

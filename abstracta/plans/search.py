@@ -13,7 +13,9 @@ from abstracta.operators.embed import TERM_BUCKETS, embed_text, embedding_functi
 from abstracta.operators.knn import distance_to, knn_join
 from abstracta.operators.ranking import topk_search
 from abstracta.operators.cell_tree import assigned
-from abstracta.plans.index import open_collection, read_store, store_probes, stored_cells, stored_probes, tree_dim
+from abstracta.plans.index import (
+    open_collection, read_store, store_probes, stored_cells, stored_probes, tree_dim, without_superseded,
+)
 from abstracta.schema import DISPLAY_DEFAULTS
 from abstracta.session import checkpointed
 
@@ -91,7 +93,7 @@ def search_cells(
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("embedding"))
     probing = checkpointed(assigned(asked, tree, dim, nprobe, breadth or most, digits=digits))
     probed = [row[0] for row in probing.select(F.explode("cells")).distinct().collect()]
-    stored = read_store(spark, root).where((F.col("model") == model) & F.col("cell").isin(probed))
+    stored = without_superseded(read_store(spark, root).where((F.col("model") == model) & F.col("cell").isin(probed)), root)
     stored = stored if where is None else stored.where(where)
     held = stored.select("id", "embedding", F.array("cell").alias("cells"))
     return knn_join(probing, held, k, dim, tree.space, cells="cells", digits=digits, **blocks)
@@ -110,7 +112,8 @@ def tune_cells(
     if tree is None:
         raise ValueError(f"No cells are stored for model: {model}")
     dim, most = tree_dim(tree), tree.centroids.count()
-    stored = read_store(spark, root).where((F.col("model") == model) & (F.col("cell") >= 0)).select("id", "embedding", "cell")
+    stored = without_superseded(read_store(spark, root).where((F.col("model") == model) & (F.col("cell") >= 0)), root)
+    stored = stored.select("id", "embedding", "cell")
     share = min(1.0, queries / max(1, stored.count()))
     asked = stored.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
     asked = checkpointed(assigned(asked.select(F.col("id").alias("query_id"), "embedding"), tree, dim, most, most))

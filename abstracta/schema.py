@@ -48,6 +48,7 @@ VECTORS = T.StructType(
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("terms", T.ArrayType(TERM)),
+        T.StructField("version", T.LongType()),
         T.StructField("model", T.StringType()),
         T.StructField("cell", T.LongType()),
         T.StructField("batch", T.StringType()),
