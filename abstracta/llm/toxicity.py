@@ -3,12 +3,17 @@
 Three steps, each over all documents: (1) a character language model is counted over the whole
 corpus; (2) stretches that look disguised (letters mixed with look-alike signs, letters drawn
 out, letters spaced apart) become lattices of what may have been meant, and a Viterbi search
-under channel costs and the language model restores the likeliest reading; (3) the restored
-text is scored by the words and word beginnings that mark toxic documents.
+over all contexts, under channel costs and the language model, restores the likeliest reading;
+(3) the restored text is scored by the words and word beginnings that mark toxic documents.
+
+A run of letters and signs counts as disguised where a sign stands in front of a letter, or a
+digit or money sign behind one; the lattice may leave it as it is. Letters count as spaced apart
+with one to three separators between them.
 
 The marks are learnt from at most ``TRAIN_ROWS`` labelled rows: those whose likelihood ratio
-stands out against as many tests as there are candidates. A text's log odds are the prior plus
-the sum of its distinct marks.
+stands out against as many tests as there are candidates, the ``MOST_MARKS`` strongest if there
+are more. Marks are words of 3 to 40 bytes and their first 4 and 5. A text's log odds are the
+prior plus the sum of its distinct marks.
 
 Defined results: null and empty texts score the prior; labels that are null or not 0 or 1 and
 ids that are null teach nothing; with no toxic or no clean labels every score is 0; repeated
@@ -27,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from abstracta.llm.common import FOLD, arrow_schema, as_batch, stored, text_or_empty
+from abstracta.llm.common import FOLD, arrow_schema, as_batch, shared, stored, text_or_empty
 
 TRAIN_ROWS = 20_000
 MOST_MARKS = 5_000
@@ -35,16 +40,19 @@ THRESHOLD = 0.7
 PURITY = 0.9
 LETTERS = 40
 ORDER = 4
-BEAM = 24
 #: What look-alike signs may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c",
 }
 SIGNS = "".join(LOOKALIKES)
+#: Signs that are no punctuation, so that they also count behind a letter.
+STRONG_SIGNS = "".join(c for c in SIGNS if c not in "!|(")
 SEPARATORS = " ._*-"
 _ANY = rf"(?:[^\W\d_]|[{re.escape(SIGNS)}])"
-SPACED = re.compile(rf"{_ANY}(?:[{re.escape(SEPARATORS)}]{_ANY}){{3,}}(?!\w)")
+_APART = rf"{_ANY}(?:[{re.escape(SEPARATORS)}]{{1,3}}{_ANY})"
+SPACED = re.compile(rf"{_APART}{{3,}}(?!\w)")
+ALL_SPACED = re.compile(rf"{_APART}+")
 RUN = re.compile(f"{_ANY}+")
 COST_LOOKALIKE, COST_LITERAL, COST_DROPPED, COST_KEPT, COST_SHORTENED, COST_DRAWN, COST_MERGED = 1.0, 4.0, 0.3, 3.0, 0.7, 6.0, 2.0
 
@@ -120,6 +128,8 @@ class Decoder:
         self.costs, self.codes = costs, letter_codes()
         self.signs = np.zeros(0x10000, bool)
         self.signs[[ord(c) for c in SIGNS]] = True
+        self.strong = np.zeros(0x10000, bool)
+        self.strong[[ord(c) for c in STRONG_SIGNS]] = True
         self.gaps = np.zeros(0x10000, bool)
         self.gaps[[*map(ord, SEPARATORS), 9, 10, 13]] = True
         self.known: dict[str, str] = {}
@@ -154,16 +164,17 @@ class Decoder:
         drawn = letter[one] & (points[one] == points[two]) & (points[two] == points[three])
         # A sign counts in front of a letter, with a letter or sign before it or a letter behind.
         mixed = sign[one] & letter[two] & (letter[:size] | sign[:size] | letter[three])
+        mixed |= self.strong[points[one]] & letter[:size]
         single = (letter | sign)[one] & self.gaps[points[two]] & self.gaps[points[:size]]
-        run = np.zeros(size, bool)
-        if size > 6:
-            run[: size - 6] = single[:-6] & single[2:-4] & single[4:-2] & single[6:]
+        # Four letters alone within the room that three separators between them can take.
+        upto = np.r_[0, np.cumsum(single)]
+        run = single & (upto[np.minimum(np.arange(size) + 13, size)] - upto[:-1] >= 4)
         places = np.flatnonzero(drawn | mixed | run)
         return list(zip(places.tolist(), run[places].tolist()))
 
     def _reading(self, stretch: str) -> str:
         if len(stretch) > 64:
-            return "".join(self._decode(stretch[i : i + 64]) for i in range(0, len(stretch), 64))
+            return self._decode(stretch)  # too long to be met again
         if stretch not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
@@ -172,14 +183,15 @@ class Decoder:
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
         """Per place of the stretch the characters that may have been meant, with their costs."""
-        spaced = len(stretch) > 2 and all(c in SEPARATORS for c in stretch[1::2])
+        spaced = ALL_SPACED.fullmatch(stretch) is not None
         places, at = [], 0
         while at < len(stretch):
             sign, run = stretch[at], 1
             while at + run < len(stretch) and stretch[at + run] == sign:
                 run += 1
             if spaced and sign in SEPARATORS:
-                places += [[("", COST_DROPPED), (sign, COST_KEPT)]] * run
+                # One separator parts letters, several are more likely to part words.
+                places.append([("", COST_DROPPED), (sign, COST_KEPT)] if run == 1 else [(" ", COST_DROPPED), ("", COST_KEPT)])
             elif run > 2 and sign.isalpha():
                 places.append([(sign, COST_SHORTENED), (sign * 2, COST_SHORTENED), (sign * run, COST_DRAWN)])
             elif sign in LOOKALIKES:
@@ -191,25 +203,37 @@ class Decoder:
         return places
 
     def _decode(self, stretch: str) -> str:
-        codes, costs = self.codes, self.costs
-        paths = {0: (0.0, "")}  # by the last three letters
-        cells = LETTERS ** (ORDER - 1)
+        """The cheapest reading. A path is known by its last three letters, all of which are kept;
+        its pieces are a chain that paths share as far as they agree."""
+        paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for place in self.lattice(stretch):
-            grown: dict[int, tuple[float, str]] = {}
-            for context, (cost, text) in paths.items():
+            grown: dict[int, tuple[float, tuple | None]] = {}
+            for context, (cost, chain) in paths.items():
                 for piece, channel in place:
-                    now, total = context, cost + channel
-                    for letter in piece[:4]:
-                        code = int(codes[min(ord(letter), 0xFFFF)])
-                        gram = now * LETTERS + code
-                        total += float(costs[gram])
-                        now = gram % cells if code else 0
+                    now, spoken = self.spoken(context, piece)
+                    total = cost + channel + spoken
                     if now not in grown or total < grown[now][0]:
-                        grown[now] = total, text + piece
-            if len(grown) > BEAM:
-                grown = dict(sorted(grown.items(), key=lambda item: item[1][0])[:BEAM])
+                        grown[now] = total, (piece, chain)
             paths = grown
-        return min((cost + float(costs[context * LETTERS]), text) for context, (cost, text) in paths.items())[1]
+        _, chain = min((cost + float(self.costs[context * LETTERS]), i, chain) for i, (context, (cost, chain)) in enumerate(paths.items()))[1:]
+        pieces = []
+        while chain:
+            pieces.append(chain[0])
+            chain = chain[1]
+        return "".join(reversed(pieces))
+
+    def spoken(self, context: int, piece: str) -> tuple[int, float]:
+        """The context behind a piece, and what the language model asks for it.
+
+        Of a drawn-out letter the first four are counted.
+        """
+        total = 0.0
+        for letter in piece[:4]:
+            code = int(self.codes[min(ord(letter), 0xFFFF)])
+            gram = context * LETTERS + code
+            total += float(self.costs[gram])
+            context = gram % LETTERS ** (ORDER - 1) if code else 0
+        return context, total
 
 
 def marks(restored: str) -> set[bytes]:
@@ -239,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, taught: Column, train_rows: int = TR
     """Learn from the labelled rows for which ``taught``, a condition on ``doc_id``, holds."""
     spark = docs.sparkSession
     costs = letter_costs(gram_counts(docs))
-    shared = spark.sparkContext.broadcast(costs)  # LETTERS ** ORDER numbers
+    letters = spark.sparkContext.broadcast(costs)  # LETTERS ** ORDER numbers
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     told = told.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & taught)
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(train_rows)
@@ -247,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, taught: Column, train_rows: int = TR
     rows = rows.dropDuplicates(["text", "toxic"])  # copies are one example
 
     def task(batches):
-        decoder = Decoder(shared.value)
+        decoder = Decoder(letters.value)
         schema = arrow_schema("mark binary, toxic long, n long")
         for batch in batches:
             toxic, every = Counter(), Counter()
@@ -286,10 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, taught: Column, train_rows: int = TR
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_MARKS words and the letter costs
+    known = shared(docs.sparkSession, model)  # at most MOST_MARKS words and the letter costs
 
     def task(batches):
-        schema, scored = arrow_schema("doc_id long, score double"), shared.value.scorer()
+        schema, scored = arrow_schema("doc_id long, score double"), known().scorer()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             yield as_batch(list(zip(batch.column(0).to_pylist(), map(scored, texts))), schema)
@@ -300,10 +324,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = shared(docs.sparkSession, model)
 
     def task(batches):
-        scored = shared.value.scorer()
+        scored = known().scorer()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             yield batch.filter(pa.array([scored(t or "") < threshold for t in texts], pa.bool_()))

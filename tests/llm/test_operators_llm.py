@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from abstracta.llm import chat, components, decontaminate, licenses, mixing, simhash, suffix, token_counts, topk, toxicity, warc
 from abstracta.llm.common import stored
-from abstracta.llm.queries import QUERIES
+from abstracta.llm.queries import QUERIES, toxicity_model
 from abstracta.session import table
 
 # -- 1: top-k ------------------------------------------------------------------------------
@@ -56,6 +57,57 @@ def test_toxicity_restores_and_separates(spark):
     assert sum(caught) / len(caught) > 0.7 and sum(wrong) / len(wrong) < 0.05
 
 
+def test_toxicity_reading_is_the_cheapest_of_all(spark):
+    """Exhaustive search over the readings of short stretches."""
+    costs = toxicity.letter_costs(toxicity.gram_counts(table(spark, "/root/testdata/sf0.001", "documents")))
+    decoder, rng = toxicity.Decoder(costs), random.Random(12)
+    stretches = ["1d10t", "a$$", "id10+", "i d 0 t", "y o u  a r", "sttt1", "$$$a", "m0 r"]
+    stretches += ["".join(rng.choice("abet01!$3 .") for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    for stretch in stretches:
+        best = None
+        for path in itertools.product(*decoder.lattice(stretch)):
+            context, cost = 0, 0.0
+            for piece, channel in path:
+                context, spoken = decoder.spoken(context, piece)
+                cost += channel + spoken
+            cost += float(costs[context * toxicity.LETTERS])
+            text = "".join(piece for piece, _ in path)
+            if best is None or cost < best[0] - 1e-9:
+                best = cost, {text}
+            elif abs(cost - best[0]) <= 1e-9:
+                best[1].add(text)
+        assert decoder._decode(stretch) in best[1], stretch
+
+
+def test_toxicity_reaches_disguise_anywhere_in_a_word(spark):
+    costs = toxicity.letter_costs(toxicity.gram_counts(table(spark, "/root/testdata/sf0.01", "documents")))
+    decoder = toxicity.Decoder(costs)
+    assert decoder.restored("so idi0+ he") == "so idiot he"
+    assert "$" not in decoder.restored("you a$$") and "5" not in decoder.restored("you dumba55 worthle55")
+    assert decoder.restored("he said: y o u  a r e  s t u p i d") == "he said: you are stupid"
+    drawn = "s" + "t" * 200 + "upid"  # no cut at 64 characters
+    assert decoder.restored(drawn) == "stupid"
+    spelled = " ".join("idiot") * 1
+    assert decoder.restored("x" * 70 + " " + spelled + " " + "y" * 70).split()[1] == "idiot"
+    assert decoder.restored("mp" + "3" + " stop! (see it)").endswith("stop! (see it)")
+
+
+def test_toxicity_brute_force_scores(spark, sf_dir):
+    """Scores are the prior and the weights of the distinct marks in the restored text, row by row."""
+    import math
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity_model(docs, labels)
+    decoder = toxicity.Decoder(model.costs)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for row in docs.collect():
+        found = toxicity.marks(decoder.restored(row["text"] or ""))
+        odds = model.prior + sum(w for mark, w in sorted(model.weights.items()) if mark in found)
+        assert math.isclose(got[row["doc_id"]], 1 / (1 + math.exp(-max(-50, min(50, odds)))), rel_tol=1e-9)
+    kept = {r["doc_id"] for r in toxicity.kept(docs, model).collect()}
+    assert kept == {d for d, score in got.items() if score < toxicity.THRESHOLD}
+
+
 def test_toxicity_awkward(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (None, 1), (2, None), (4, 0)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels, F.lit(True))
