@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from abstracta.sources.json_arrays import read_json_arrays
+
 PARTITIONS = ("venue", "year", "snapshot_ts")
 
 
@@ -35,8 +37,14 @@ def write_json_array(rows: DataFrame, path: str, rows_per_file: int = 100_000) -
     lines.write.mode("errorifexists").option("lineSep", "\n").text(path)
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Load JSON-array files with a given schema; land them as Parquet before heavy use."""
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, splittable: bool = True) -> DataFrame:
+    """Load JSON-array files with a given schema.
+
+    The splittable form reads a file of any size in many tasks. The other leaves each file to
+    one task, which suits many small files.
+    """
+    if splittable:
+        return read_json_arrays(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
