@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abstracta.catalog.registry import PAPERS_SQL, SQL_SPACES, papers, registered
-from abstracta.functions.html import element, inner_text, unescape_html
+from abstracta.functions.markup import Field, Selector, page_fields
 from abstracta.functions.records import normalize_pdf_url, rename_keys, unwrap_content
 from abstracta.functions.text import file_stamp, format_keywords, parse_keywords, safe_filename, split_authors, strip_text
 from abstracta.functions.records import coalesce_title
@@ -118,7 +118,8 @@ FROM pages
 """)
 def coalesce_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    titled = pages.select("page_id", "url", unescape_html(inner_text(element(F.col("html"), "title"))).alias("t"))
+    title = page_fields(F.col("html"), [Field("t", (Selector(("title",)),), joiner="")])
+    titled = spread(pages).select("page_id", "url", title["t"].alias("t"))
     detail = F.when(F.col("url").like("%#top"), "").when(F.col("url").like("http:%"), None).otherwise(F.col("t"))
     return titled.select("page_id", coalesce_title(detail, F.col("url")).alias("title"))
 

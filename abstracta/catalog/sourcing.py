@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from abstracta.catalog.cleaning import _UNESCAPE
 from abstracta.catalog.registry import PAPERS_SQL, SQL_SPACES, papers, registered
-from abstracta.functions.html import element, inner_text, unescape_html, visible
+from abstracta.functions.html import unescape_html
+from abstracta.functions.markup import Field, Selector, page_fields
 from abstracta.plans.exports import export_results
 from abstracta.session import scratch_path, spread, table
-from abstracta.sources.pages import bibtex_link, explode_links, marked_links, titled_links, with_fallback
+from abstracta.sources.pages import bibtex_link, explode_links, list_links as listed
 from abstracta.sources.snapshot import read_snapshot, write_json_array, write_snapshot
 from abstracta.sources.textfiles import RULE, read_export_blocks, write_export
 
@@ -79,7 +80,8 @@ _ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
 @registered("html_extract_list_links", f"WITH {_links_sql(_ANCHORS)} SELECT page_id, pos, title, {_ROOT} || href AS detail_url FROM found")
 def list_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(table(spark, sf_dir, "pages"))
-    return explode_links(pages, titled_links(F.col("html"), "li", ""), F.col("url"), "page_id")
+    links = listed(F.col("html"), Selector(("li",)), None)
+    return explode_links(pages, links, F.col("url"), "page_id", escaped=False)
 
 
 @registered("html_links_fallback", f"""
@@ -89,10 +91,8 @@ SELECT page_id, pos, title, {_ROOT} || href AS detail_url FROM found
 """)
 def list_links_or_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(table(spark, sf_dir, "pages"))
-    links = with_fallback(
-        titled_links(F.col("html"), "html", r'lang="(?:de|fr)"'), marked_links(F.col("html"), "e")
-    )
-    return explode_links(pages, links, F.col("url"), "page_id")
+    links = listed(F.col("html"), Selector(("html",), "lang", ("de", "fr")), "e")
+    return explode_links(pages, links, F.col("url"), "page_id", escaped=False)
 
 
 @registered("resolve_url", f"""
@@ -129,15 +129,10 @@ SELECT page_id,
 FROM shown
 """)
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages")).select("page_id", visible(F.col("html")).alias("html"))
     texts = {"title": "title", "heading": "h1", "abstract": "p", "footer": "footer"}
-    return pages.select(
-        "page_id",
-        *[
-            F.coalesce(unescape_html(inner_text(element(F.col("html"), tag), " ")), F.lit("")).alias(name)
-            for name, tag in texts.items()
-        ],
-    )
+    fields = page_fields(F.col("html"), [Field(name, (Selector((tag,)),)) for name, tag in texts.items()])
+    found = spread(table(spark, sf_dir, "pages")).select("page_id", fields.alias("p"))
+    return found.select("page_id", *[F.coalesce(f"p.{name}", F.lit("")).alias(name) for name in texts])
 
 
 @registered("bibtex_link_detect", f"""

@@ -12,7 +12,7 @@ from abstracta.operators.clean import drop_placeholder_titles, drop_short_titles
 from abstracta.operators.joins import list_detail_join
 from abstracta.operators.ranking import dedup_first_seen
 from abstracta.schema import PDF_BASE, RENAMES_CRAWL
-from abstracta.sources.pages import explode_links, extract_details, marked_links, titled_links, with_fallback
+from abstracta.sources.pages import explode_links, extract_details, list_links
 
 
 def normalize_notes(
@@ -58,8 +58,7 @@ def harvest_proceedings(
     list_order: str = "page_id",
 ) -> DataFrame:
     """List and detail pages of one conference to cleaned records with their output names."""
-    links = with_fallback(titled_links(F.col("html")), marked_links(F.col("html")))
-    entries = explode_links(list_pages, links, base, list_order)
+    entries = explode_links(list_pages, list_links(F.col("html")), base, list_order, escaped=False)
     # Repeated links are dropped before the join, the costly step.
     first = dedup_first_seen(entries, "detail_url", F.struct(list_order, "pos")).drop("pos", list_order)
     records = list_detail_join(first, extract_details(detail_pages))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from abstracta.functions.html import anchors, element, elements, has_class, has_id, inner_text, unescape_html, visible
+from abstracta.functions.html import anchors, elements, has_class, unescape_html, visible
+from abstracta.functions.markup import Field, Selector, page_fields
 from abstracta.functions.records import resolve_url
 from abstracta.functions.text import split_authors, strip_text
 
@@ -13,6 +14,16 @@ TITLE_TAGS = "dt|div|h4"
 TITLE_CLASS = "ptitle"
 DETAIL_MARKER = "/html/"
 BIBTEX_MARKER = "bibtex"
+TITLES = Selector(tuple(TITLE_TAGS.split("|")), "class", (TITLE_CLASS,))
+_BIBREF = Selector(("div",), "class", ("bibref",))
+DETAIL_FIELDS = (
+    Field("title", (Selector((), "id", ("papertitle",)),)),
+    Field("authors", (Selector((), "id", ("authors",)), Selector(("i",)))),
+    Field("abstract", (Selector((), "id", ("abstract",)),)),
+    Field("pre", (_BIBREF, Selector(("pre",))), "raw"),
+    Field("block", (_BIBREF,), "raw"),
+    Field("links", (), "links"),
+)
 
 
 def _usable(links: Column) -> Column:
@@ -29,14 +40,37 @@ def marked_links(html: Column, marker: str = DETAIL_MARKER) -> Column:
     return F.filter(_usable(anchors(visible(html))), lambda a: F.contains(a["href"], F.lit(marker)))
 
 
+def list_links(
+    html: Column, titles: Selector = TITLES, marker: str | None = DETAIL_MARKER
+) -> Column:
+    """Usable links of a list page, in one pass: those in title nodes, or else those with the marker.
+
+    ``array<struct<href, text>>`` with character references replaced; no marker, no fallback.
+    """
+    wanted = [Field("titled", (titles,), "links")]
+    if marker is None:
+        return _usable(page_fields(html, wanted)["titled"])
+
+    def chosen(page: Column) -> Column:
+        marked = F.filter(_usable(page["all"]), lambda a: F.contains(a["href"], F.lit(marker)))
+        return with_fallback(_usable(page["titled"]), marked)
+
+    # As the element of a list, a page's fields are evaluated once for both uses.
+    found = page_fields(html, [*wanted, Field("all", (), "links")])
+    return F.transform(F.array(found), chosen)[0]
+
+
 def with_fallback(primary: Column, fallback: Column) -> Column:
     """The primary links, or the fallback where a page has none."""
     return F.when(F.size(primary) > 0, primary).otherwise(fallback)
 
 
-def explode_links(pages: DataFrame, links: Column, base: Column, *keep: str) -> DataFrame:
-    """One row per link: ``keep..., pos, title, detail_url``."""
+def explode_links(pages: DataFrame, links: Column, base: Column, *keep: str, escaped: bool = True) -> DataFrame:
+    """One row per link: ``keep..., pos, title, detail_url``; ``escaped`` ones have character references."""
     exploded = pages.select(*keep, base.alias("_base"), F.posexplode(links).alias("pos", "_link"))
+    if not escaped:
+        address = resolve_url(F.col("_base"), F.col("_link.href"))
+        return exploded.select(*keep, "pos", F.col("_link.text").alias("title"), address.alias("detail_url"))
     plain = exploded.select(
         *keep, "_base", "pos",
         unescape_html("_link.text").alias("title"), unescape_html("_link.href").alias("_href"),
@@ -59,31 +93,21 @@ def bibtex_link(html: Column, page_url: Column, marker: str = BIBTEX_MARKER) ->
 def extract_details(
     pages: DataFrame, html: str = "html", url: str = "url", *, marker: str = BIBTEX_MARKER
 ) -> DataFrame:
-    """Records of proceedings detail pages; a missing node gives NULL, missing authors ``[]``."""
-    shown = pages.select(F.col(url).alias("detail_url"), visible(F.col(html)).alias("_html"))
-    any_tag = r"[a-z][a-z0-9]*"
-
-    def text_of(*path: tuple[str, str]) -> Column:
-        markup = F.col("_html")
-        for tag, attribute in path:
-            markup = F.try_element_at(elements(markup, tag, attribute), F.lit(1))
-        return markup
-
-    block = text_of(("div", has_class("bibref")))
-    pre = element(block, "pre")
-    fields = shown.select(
-        "detail_url",
-        inner_text(text_of((any_tag, has_id("papertitle"))), " ").alias("title"),
-        inner_text(element(text_of((any_tag, has_id("authors"))), "i"), " ").alias("authors"),
-        inner_text(text_of((any_tag, has_id("abstract"))), " ").alias("abstract"),
-        F.regexp_replace(F.coalesce(pre, block), r"(?s)<[A-Za-z/!][^>]*>", "").alias("bibtex"),
-        bibtex_link(F.col("_html"), F.col("detail_url"), marker).alias("bibtex_url"),
-    )
-    return fields.select(
+    """Records of proceedings detail pages; a missing node gives NULL, missing authors ``[]``.
+
+    All fields come from one pass over the page.
+    """
+    found = pages.select(F.col(url).alias("detail_url"), page_fields(F.col(html), DETAIL_FIELDS).alias("p"))
+
+    def mentions(a: Column) -> Column:
+        return F.contains(F.lower(a["href"]), F.lit(marker)) | F.contains(F.lower(a["text"]), F.lit(marker))
+
+    link = F.try_element_at(F.filter("p.links", lambda a: a["href"].isNotNull() & mentions(a)), F.lit(1))
+    return found.select(
         "detail_url",
-        unescape_html("title").alias("title"),
-        split_authors(unescape_html("authors")).alias("authors"),
-        unescape_html("abstract").alias("abstract"),
-        strip_text(unescape_html("bibtex")).alias("bibtex"),
-        "bibtex_url",
+        F.col("p.title").alias("title"),
+        split_authors(F.col("p.authors")).alias("authors"),
+        F.col("p.abstract").alias("abstract"),
+        strip_text(F.coalesce("p.pre", "p.block")).alias("bibtex"),
+        F.when(link.isNotNull(), resolve_url(F.col("detail_url"), link["href"])).alias("bibtex_url"),
     )
