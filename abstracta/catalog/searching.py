@@ -12,9 +12,9 @@ from abstracta.operators.embed import (
 )
 from abstracta.operators.knn import knn_join
 from abstracta.operators.postings import postings_search
-from abstracta.operators.ranking import paginate
+from abstracta.plans.results import read_page, store_results
 from abstracta.plans.search import search_records, text_topk_search, vector_search
-from abstracta.session import spread, table
+from abstracta.session import scratch_path, spread, table
 
 DIM = 64
 
@@ -153,7 +153,9 @@ SELECT query_id, id, rank, 3 AS page, 3 AS total_pages FROM hits WHERE rank > 20
 """)
 def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = knn_join(_queries(spark, sf_dir), _corpus(spark, sf_dir), 25, DIM)
-    return paginate(hits, page=9).select("query_id", "id", "rank", "page", "total_pages")
+    path = scratch_path(spark, "results")
+    store_results(hits.select("query_id", "id", "rank"), path)
+    return read_page(spark, path, 9).select("query_id", "id", "rank", "page", "total_pages")
 
 
 @registered("embed_text", f"WITH {terms_sql('t', 'doc_id', 'documents')} SELECT doc_id, bucket, weight FROM t")

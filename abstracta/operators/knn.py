@@ -273,8 +273,12 @@ def knn_join(
         pairs = _scan(q.toArrow(), c, int(k), dim, space, digits, schema)
     else:
         pairs = _blocks(q, c, int(k), dim, space, digits, schema, max(1, min(most, block_bytes // row_bytes)), block_items)
-    # Two tasks may have met the same pair: in different cells, or by a repeated id. A query
-    # has up to k candidates per task, so they are merged in parts by id before they meet.
+    # Two tasks may have met the same pair: in different cells, or by a repeated id.
+    if n_queries >= int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        # There is work for all tasks by query: one exchange serves both the pairs and the ranking.
+        once = pairs.repartition("query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+        return ordered(once, k, digits)
+    # Few queries, each with up to k candidates per task: merged in parts by id before they meet.
     parts = pairs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS))).repartition("query_id", "_part")
     once = parts.groupBy("query_id", "_part", "id").agg(F.min("distance").alias("distance"))
     best = topk_per_group(once, ["query_id", "_part"], [_rounded_to(digits), F.col("id")], int(k)).drop("_part", "rank")

@@ -7,7 +7,8 @@ from abstracta.catalog import QUERIES
 from abstracta.operators.clean import venue_year_filter
 from abstracta.operators.embed import embed_text, explode_terms
 from abstracta.operators.knn import knn_join
-from abstracta.operators.ranking import dedup_first_seen, topk_per_group
+from abstracta.operators.ranking import dedup_first_seen, paginate, topk_per_group
+from abstracta.plans.results import read_page, store_results
 from abstracta.plans.search import vector_search
 from abstracta.session import spread, table
 from abstracta.sources.snapshot import write_snapshot
@@ -35,11 +36,34 @@ def test_group_limits_come_before_the_exchange(spark):
 
 def test_knn_does_not_shuffle_the_corpus(spark):
     e = table(spark, SF, "embeddings")
-    hits = knn_join(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "id"), 3, 64)
-    text = plan(hits)
-    # Candidates are exchanged twice, in parts and per query; both lie above the scan.
-    assert text.count("Exchange") == 2 and text.rindex("Exchange") < text.index("MapInArrow")
-    assert "Join" not in text and "CartesianProduct" not in text
+    for queries, exchanges in ((e, 1), (e.where("vec_id < 3"), 2)):
+        hits = knn_join(queries.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "id"), 3, 64)
+        text = plan(hits)
+        # Candidates are exchanged once per query, those of few queries in parts before; above the scan.
+        assert text.count("Exchange") == exchanges and text.rindex("Exchange") < text.index("MapInArrow")
+        assert "Join" not in text and "CartesianProduct" not in text
+
+
+def test_stored_pages_are_read_without_searching(spark, tmp_path):
+    e = table(spark, SF, "embeddings")
+    hits = knn_join(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "id"), 25, 64)
+    path = str(tmp_path / "hits")
+    store_results(hits, path)
+    page = read_page(spark, path, 2)
+    text = plan(page)
+    assert "Arrow" not in text and "Python" not in text and "Exchange" not in text and "LessThanOrEqual(rank,20)" in text
+    want = paginate(hits, 2).select("query_id", "id", "rank", "page", "total_pages")
+    assert sorted(map(tuple, page.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    one = read_page(spark, path, 99, query=7)
+    assert "part" in plan(one).split("PartitionFilters: ")[1].split("]")[0]
+    assert [(r["rank"], r["page"], r["total_pages"]) for r in one.orderBy("rank").collect()] == [(i, 3, 3) for i in range(21, 26)]
+    assert read_page(spark, path, -5, query=7).count() == 10 and read_page(spark, path, 1, query=10**9).count() == 0
+    # Lists without a query, shorter than a page, or of no rows.
+    lists = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (3, 1, "c")], "query_id long, rank int, id string")
+    store_results(lists, str(tmp_path / "l"))
+    assert read_page(spark, str(tmp_path / "l"), 4).count() == 3
+    store_results(lists.limit(0), str(tmp_path / "n"))
+    assert read_page(spark, str(tmp_path / "n"), 1).count() == 0
 
 
 def test_embedding_does_not_shuffle_and_runs_once(spark):
