@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from abstracta.catalog.registry import PAPERS_SQL, papers, registered
 from abstracta.functions.text import is_placeholder_title
 from abstracta.operators import stats
-from abstracta.session import table
+from abstracta.session import scratch_path, table
+from abstracta.streaming import counts
 
 
 @registered("attribute_census", """
@@ -73,3 +74,23 @@ FROM papers GROUP BY ROLLUP (venue, year, lang)
 """)
 def venue_year_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.venue_year_totals(papers(spark, sf_dir), ["venue", "year", "lang"])
+
+
+@registered("kept_counts", f"""
+WITH {PAPERS_SQL}, landed AS (
+  SELECT venue, year, lang, 1 AS harvest FROM papers
+  UNION ALL SELECT venue, year, lang, 2 FROM papers WHERE lang IN ('de', 'fr') AND year <> 2023),
+newest AS (SELECT * FROM landed QUALIFY harvest = max(harvest) OVER (PARTITION BY venue, year))
+SELECT venue, year, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de,
+       count(*) FILTER (WHERE lang NOT IN ('en', 'de')) AS other
+FROM newest GROUP BY venue, year
+""")
+def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two harvests of the papers come in as a stream; the second one replaces what it holds again."""
+    source, path, state = (scratch_path(spark, name) for name in ("harvests", "counts", "counts-state"))
+    rows = papers(spark, sf_dir).select("venue", "year", F.col("lang").alias("decision"))
+    for number, harvest in enumerate((rows, rows.where("decision IN ('de', 'fr') AND year <> 2023")), 1):
+        stamped = harvest.withColumn("snapshot_ts", F.to_timestamp(F.lit(f"2026-01-0{number} 00:00:00")))
+        stamped.write.mode("append").parquet(source)
+        counts.keep_counts(spark, source, stamped.schema, path, state).awaitTermination()
+    return counts.current_stats(spark, path, ["en", "de"])
