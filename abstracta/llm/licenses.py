@@ -46,12 +46,10 @@ TEMPLATES = (
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),
-)
-#: Sentences met in the documents besides; apart because the SQL of op10_license_scan lists TEMPLATES.
-MORE_TEMPLATES = (
     ("this work is licensed under the gnu general public license version 3", "gpl"),
 )
 
+
 def folded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").translate(FOLD)
 

@@ -224,15 +224,11 @@ def _license_sql(wanted=licenses.TEMPLATES) -> str:
 
 
 @registered("op10_license_scan", _license_sql())
+@registered("op10_license_sentences", _license_sql())  # the name under which the last template began
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@registered("op10_license_sentences", _license_sql(licenses.TEMPLATES + licenses.MORE_TEMPLATES))
-def op10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES + licenses.MORE_TEMPLATES)
-
-
 _TRIE_SQL = r"""
 WITH bytes AS (
   SELECT conv_id, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),

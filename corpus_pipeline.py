@@ -48,7 +48,7 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: SQL cannot express the toxicity score; tests hold every stage against brute force.
+#: SQL cannot express the toxicity score; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
