@@ -23,9 +23,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from abstracta.llm.common import as_batch, arrow_schema, map_rows, text_or_empty
+from abstracta.llm.common import as_batch, arrow_schema, map_rows, stored, text_or_empty
 
 LEAST = 100
+#: Repeated digests travel with the tasks up to this size; more meet their rows by digest.
+BROADCAST_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 16_384
 FILE_BYTES = 1 << 28
@@ -94,9 +96,16 @@ def with_first(pages: DataFrame, least: int = LEAST) -> DataFrame:
     long = F.octet_length("html") >= least
     pages = pages.withColumn("digest", F.when(long, F.unhex(F.sha2(F.col("html").cast("binary"), 256))))
     groups = pages.where(long).groupBy("digest").agg(F.min("page_id").alias("least_id"), F.count("*").alias("copies"))
-    groups = groups.where("copies > 1 AND least_id IS NOT NULL").select("digest", "least_id")
+    groups = stored(groups.where("copies > 1 AND least_id IS NOT NULL").select("digest", "least_id"), "warc-repeats")
     first = F.when(~F.col("page_id").eqNullSafe(F.col("least_id")), F.col("least_id"))
-    return pages.join(groups, "digest", "left").select("page_id", "url", "html", first.alias("first"))
+    if groups.count() * 64 <= BROADCAST_BYTES:
+        found = pages.join(F.broadcast(groups), "digest", "left")  # payloads stay where they are
+    else:
+        # Rows without a digest meet nothing: they are dealt out instead of meeting in one task.
+        salt = F.when(F.col("digest").isNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(1024))).otherwise(0)
+        groups = groups.withColumn("salt", F.lit(0).cast("long"))
+        found = pages.withColumn("salt", salt).join(groups, ["digest", "salt"], "left")
+    return found.select("page_id", "url", "html", first.alias("first"))
 
 
 def write_archive(pages: DataFrame, least: int = LEAST) -> DataFrame:

@@ -466,6 +466,24 @@ def test_warc_archive_is_a_zstd_file(spark):
     assert warc.read_archive(stored(warc.write_archive(pages.limit(0)), "test")).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_warc_copies_by_both_ways(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast_bytes)
+    page = lambda i: ["short", None, "a" * 100, "b" * 200, f"own {i} " * 30][i % 5]
+    rows = [(None if i % 11 == 0 else i, f"https://x/{i}", page(i)) for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("digest", "salt", "first")})
+    archive = stored(warc.write_archive(pages), "warc-both")
+    got = [(r["url"], r["record_type"], r["refers_to"]) for r in warc.read_archive(archive).collect()]
+    least = {}
+    for page_id, _, html in rows:
+        if page_id is not None and html and len(html) >= 100:
+            least[html] = min(page_id, least.get(html, page_id))
+    want = [(u, "revisit", least[h]) if h in least and sum(x[2] == h for x in rows) > 1 and i != least[h] else (u, "response", None) for i, u, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    plan = warc.write_archive(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan or not broadcast_bytes
+
+
 # -- 9: mixing -----------------------------------------------------------------------------
 
 
