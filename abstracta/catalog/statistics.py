@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from abstracta.catalog.registry import PAPERS_SQL, papers, registered
+from abstracta.functions.records import DECISIONS, decision_class
 from abstracta.functions.text import is_placeholder_title
 from abstracta.operators import stats
 from abstracta.session import scratch_path, table
@@ -94,3 +95,21 @@ def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamped.write.mode("append").parquet(source)
         counts.keep_counts(spark, source, stamped.schema, path, state).awaitTermination()
     return counts.current_stats(spark, path, ["en", "de"])
+
+
+@registered("decision_stats", f"""
+WITH {PAPERS_SQL}, named AS (
+  SELECT venue, year, CASE lang WHEN 'fr' THEN replace(venue_text, 'Poster', 'Oral') WHEN 'de' THEN replace(venue_text, 'Poster', 'Spotlight')
+                      ELSE venue_text END AS t FROM papers)
+SELECT venue, year, CAST(0 AS BIGINT) AS withdrawn, CAST(0 AS BIGINT) AS rejected,
+       count(*) FILTER (WHERE contains(t, 'Submitted')) AS submitted, count(*) FILTER (WHERE contains(t, ' Oral')) AS oral,
+       count(*) FILTER (WHERE contains(t, ' Spotlight')) AS spotlight, count(*) FILTER (WHERE contains(t, ' Poster')) AS poster,
+       CAST(0 AS BIGINT) AS other
+FROM named GROUP BY venue, year
+""")
+def decision_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes read from the venue texts, then counted."""
+    named = F.when(F.col("lang") == "fr", F.replace("venue_text", F.lit("Poster"), F.lit("Oral")))
+    named = named.when(F.col("lang") == "de", F.replace("venue_text", F.lit("Poster"), F.lit("Spotlight"))).otherwise(F.col("venue_text"))
+    rows = papers(spark, sf_dir).withColumn("decision", decision_class(named))
+    return stats.venue_year_stats(rows, [name for name, _ in DECISIONS])

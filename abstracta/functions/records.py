@@ -93,3 +93,22 @@ def resolve_url(base: Column, href: Column) -> Column:
 def coalesce_title(detail_title: Column, list_title: Column) -> Column:
     """Detail title, or the list title where the former is missing or empty."""
     return F.coalesce(F.nullif(detail_title, F.lit("")), list_title)
+
+
+# Classes of the statistics and what names them in a venue text, the first that fits.
+DECISIONS = (
+    ("withdrawn", r"(?i)\bwithdr[ae]wn\b"),
+    ("rejected", r"(?i)\breject(?:ed)?\b"),
+    ("submitted", r"(?i)\bsubmi(?:tted|ssion)\b"),
+    ("oral", r"(?i)\b(?:oral|notable[ -]top[ -]5%)"),
+    ("spotlight", r"(?i)\b(?:spotlight|notable[ -]top[ -]25%)"),
+    ("poster", r"(?i)\bposter\b"),
+)
+
+
+def decision_class(venue: Column) -> Column:
+    """Class of a venue text such as ``ICLR 2025 Oral``; NULL where none is named."""
+    found = F.lit(None).cast("string")
+    for name, pattern in reversed(DECISIONS):
+        found = F.when(venue.rlike(pattern), name).otherwise(found)
+    return found

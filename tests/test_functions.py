@@ -140,3 +140,11 @@ def test_element_by_id_and_class(values):
 
 def test_unescape(values):
     assert values(["a &amp; b &eacute; &#39; &copy", None, "x"], html.unescape_html) == ["a & b é ' ©", None, "x"]
+
+
+def test_decision_class(values):
+    given = ["ICLR 2025 Oral", "ICLR 2025 poster", "NeurIPS 2024 spotlight", "Submitted to ICLR 2026", "ICLR 2026 Conference Withdrawn Submission",
+             "ICLR 2023 notable top 5%", "ICLR 2023 notable top 25%", "Rejected Submission", "ICML 2024", None, "", "Temporal 2024"]
+    assert values(given, records.decision_class) == [
+        "oral", "poster", "spotlight", "submitted", "withdrawn", "oral", "spotlight", "rejected", None, None, None, None
+    ]
