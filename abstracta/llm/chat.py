@@ -142,6 +142,44 @@ def read_chunk(chunk: str) -> list[tuple[str, str]]:
     return [(unescaped_role(role), unescaped(body)) for role, body in TURN.findall(chunk)]
 
 
+READ_PARTS = "array<struct<kind:string,text:string,ref:string,tokens:bigint>>"
+PLACEHOLDER = re.compile(rf"<\|({'|'.join(TOKENS)})\|>")
+
+
+def read_parts(body: str, refs: list[str], tokens: list[int]) -> list[dict]:
+    """The typed parts of a formatted body, in order.
+
+    An escaped text never holds ``<|``, so what looks like a placeholder is one. Texts side by
+    side come back as one, empty ones not at all; unknown kinds have become documents.
+    """
+    parts, at = [], 0
+    for n, match in enumerate(PLACEHOLDER.finditer(body)):
+        if match.start() > at:
+            parts.append({"kind": "text", "text": unescaped(body[at : match.start()]), "ref": None, "tokens": None})
+        parts.append({"kind": match[1], "text": None, "ref": refs[n], "tokens": tokens[n]})
+        at = match.end()
+    if at < len(body):
+        parts.append({"kind": "text", "text": unescaped(body[at:]), "ref": None, "tokens": None})
+    return parts
+
+
+def read_turns(chunks: DataFrame) -> DataFrame:
+    """Formatted chunks back to ``conv_id, turn, role, parts``, text and attachments told apart."""
+    part = pa.struct([("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("parts", pa.list_(part))])
+
+    def task(batches):
+        for batch in batches:
+            rows = []
+            for conv, turn, chunk, refs, tokens in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                role, body = TURN.fullmatch(chunk).groups()
+                rows.append((conv, turn, unescaped_role(role), read_parts(body, refs, tokens)))
+            yield as_batch(rows, schema)
+
+    columns = chunks.select("conv_id", "turn", "chunk", "refs", "tokens")
+    return columns.mapInArrow(task, f"conv_id long, turn long, role string, parts {READ_PARTS}")
+
+
 def read_back(chunks: DataFrame) -> DataFrame:
     """Digest of every conversation, computed from the formatted chunks alone.
 

@@ -438,6 +438,36 @@ def test_chat_round_trip_and_attachments(spark):
     assert chat.read_chunk(chunk) == [("user", "a<|im_end|>\nb<|image|>|")]
 
 
+def test_chat_typed_parts_come_back(spark):
+    """Random parts: literal placeholders stay text, attachments keep kind, reference and order."""
+    rng = random.Random(8)
+    texts = ["<|image|>", "<|im_end|>\n", "<\\|audio|>", "<", "|image|>", "plain", "", None, "a\nb", "\\"]
+    rows, want = [], {}
+    for turn in range(300):
+        parts, back = [], []
+        for _ in range(rng.randint(0, 5)):
+            kind = rng.choice(["text", "text", None, "image", "audio", "document", "video"])
+            if kind in ("text", None):
+                text = rng.choice(texts)
+                parts.append((kind, text, None, None))
+                if back and back[-1][0] == "text":
+                    back[-1] = ("text", back[-1][1] + (text or ""), None)
+                else:
+                    back.append(("text", text or "", None))
+            else:
+                ref = rng.choice(["r1", "<|x|>", None])
+                parts.append((kind, None, ref, 1000.0))
+                back.append((kind if kind != "video" else "document", None, ref or ""))
+        role = rng.choice(["user", "assistant", "odd\nrole\\<|im_end|>"])
+        rows.append((1, turn, role, parts))
+        want[turn] = role, [b for b in back if b[0] != "text" or b[1]]
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    found = chat.read_turns(chat.format_turns(frame)).collect()
+    assert {r["turn"]: (r["role"], [(p["kind"], p["text"], p["ref"]) for p in r["parts"]]) for r in found} == want
+    assert {p["tokens"] for r in found for p in r["parts"] if p["kind"] == "image"} == {2}
+    assert chat.read_turns(chat.format_turns(frame.limit(0))).collect() == []
+
+
 # -- 8: WARC -------------------------------------------------------------------------------
 
 
