@@ -154,7 +154,7 @@ SELECT query_id, id, rank, 3 AS page, 3 AS total_pages FROM hits WHERE rank > 20
 def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = knn_join(_queries(spark, sf_dir), _corpus(spark, sf_dir), 25, DIM)
     path = scratch_path(spark, "results")
-    store_results(hits.select("query_id", "id", "rank"), path)
+    store_results(hits.select("query_id", "id", "rank"), path, parts=8)
     return read_page(spark, path, 9).select("query_id", "id", "rank", "page", "total_pages")
 
 

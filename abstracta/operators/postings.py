@@ -64,8 +64,9 @@ def build_postings(docs: DataFrame, path: str, item_id: str = "id", vector: str
     no_shard = docs.sparkSession.createDataFrame([(-1, HEAD, 0.0, [], [], [])], out)
     listed = rows.mapInArrow(task, out).unionByName(no_shard)
     part = F.when(F.col("bucket") == HEAD, F.lit(HEAD)).otherwise(F.pmod("bucket", F.lit(PARTS)).cast("int"))
-    ranged = listed.withColumn("part", part).repartitionByRange("part", "bucket", "shard").sortWithinPartitions("part", "bucket", "shard")
-    ranged.write.mode("overwrite").partitionBy("part").parquet(path)
+    # By folder; adaptive execution cuts folders that are too large for a task, and nothing is sampled first.
+    dealt = listed.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "bucket", "shard")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def shard_rows_of(shard: int, batch: pa.RecordBatch, ids_of: pa.DataType) -> pa.RecordBatch:

@@ -12,8 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from abstracta.plans.index import (
@@ -41,29 +40,24 @@ class Changes(StatefulProcessor):
     """Lets through the first row of an id, and rows whose text differs from the last one's.
 
     Of several rows of one id in a micro-batch the one with the lowest digest counts. Rows pass
-    one frame at a time, so an id may have any number of them.
+    one at a time, so an id may have any number of them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "digest string, version long")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        self.seen.update((initialState["digest"].iloc[0], int(initialState["version"].iloc[0])))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:  # noqa: N802, N803
+        self.seen.update((initialState["digest"], int(initialState["version"])))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = None
-        for frame in rows:
-            first = frame.iloc[[frame["digest"].argmin()]]
-            if best is None or first["digest"].iloc[0] < best["digest"].iloc[0]:
-                best = first
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        best = min(rows, key=lambda row: row["digest"], default=None)
         if best is None:
             return
-        now = best["digest"].iloc[0]
         known = self.seen.get() if self.seen.exists() else None
-        if known is None or known[0] != now:
+        if known is None or known[0] != best["digest"]:
             version = known[1] + 1 if known else 1
-            self.seen.update((now, version))
-            yield best[["id", "document", "metadata"]].assign(version=version)
+            self.seen.update((best["digest"], version))
+            yield Row(id=best["id"], document=best["document"], metadata=best["metadata"], version=version)
 
     def close(self) -> None:
         pass
@@ -82,7 +76,7 @@ def changed_rows(arriving: DataFrame, stored: DataFrame | None = None) -> DataFr
         # One row for each id: its newest version.
         newest = stored.groupBy("id").agg(F.max_by(digest(), version).alias("digest"), F.max(version).alias("version"))
         begun = newest.groupBy("id")
-    return rows.groupBy("id").transformWithStateInPandas(Changes(), CHANGED, "Append", "None", initialState=begun)
+    return rows.groupBy("id").transformWithState(Changes(), CHANGED, "Append", "None", initialState=begun)
 
 
 def incremental_index(
