@@ -64,8 +64,8 @@ def build_postings(docs: DataFrame, path: str, item_id: str = "id", vector: str
     no_shard = docs.sparkSession.createDataFrame([(-1, HEAD, 0.0, [], [], [])], out)
     listed = rows.mapInArrow(task, out).unionByName(no_shard)
     part = F.when(F.col("bucket") == HEAD, F.lit(HEAD)).otherwise(F.pmod("bucket", F.lit(PARTS)).cast("int"))
-    # By folder; adaptive execution cuts folders that are too large for a task, and nothing is sampled first.
-    dealt = listed.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "bucket", "shard")
+    # By folder and a few shards of it, so that a folder is written by several tasks; nothing is sampled first.
+    dealt = listed.withColumn("part", part).repartition("part", F.pmod("shard", F.lit(16))).sortWithinPartitions("part", "bucket", "shard")
     dealt.write.mode("overwrite").partitionBy("part").parquet(path)
 
 
