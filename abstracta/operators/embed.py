@@ -17,7 +17,7 @@ from abstracta.schema import TERM
 TERM_BUCKETS = 4096
 # Fixed pattern: what separates two tokens of lower-cased text.
 TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
-_SLICE_BYTES = 16 * 1024 * 1024
+_SLICE_BYTES = 2 * 1024 * 1024
 
 
 def hashed_tokens(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

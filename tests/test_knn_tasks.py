@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from abstracta.operators import knn
+from abstracta.operators import embed, knn
 
 OUT = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
@@ -105,3 +105,9 @@ def test_many_queries_are_dealt_by_pairs(spark, monkeypatch):
     assert {(r["query_id"], r["id"]) for r in found.collect()} == brute(points, points, 3, "cosine")
     plan = found._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "shufflepartitionidpassthrough(direct_shuffle_partition_id(_task" in plan
+
+
+def test_texts_are_embedded_in_small_slices():
+    texts = pa.array(["a b " * 400_000, "b", None] * 3)
+    assert [len(part) for part in embed._slices(texts)] == [3, 3, 3]
+    assert embed._terms(texts, 64) == pa.concat_arrays([embed._slice_terms(texts.slice(i, 1), 64) for i in range(9)])
