@@ -17,9 +17,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from abstracta.operators.embed import evaluated_once
-from abstracta.operators.knn import BROADCAST_BYTES, distances, knn_join, to_matrix
+from abstracta.operators.knn import BROADCAST_BYTES, Side, knn_join, to_matrix
 
 LISTED_CELLS, PROBED_CELLS = 10_000, 1_000_000
+#: Distances to centroids that a worker holds at a time.
+ASSIGNED_PAIRS = 524_288
 
 
 def cell_centroids(vectors: DataFrame, cell: str, vector: str = "embedding") -> DataFrame:
@@ -76,15 +78,33 @@ def _nearest_in(shared: Broadcast, dim: int, n: int, space: str, digits: int):
     @F.arrow_udf("array<struct<distance: double, cell: bigint>>")
     def assign(column: pa.Array) -> pa.Array:
         cells, matrix = shared.value
-        ranked = np.floor(distances(to_matrix(column, dim), matrix, space) * 10.0**digits + 0.5)
-        order = np.argsort(ranked, axis=1, kind="stable")[:, :n]
-        pairs = [pa.array(np.take_along_axis(ranked, order, 1).reshape(-1)), pa.array(cells[order].reshape(-1), pa.int64())]
+        near, order = _ranked_cells(to_matrix(column, dim), matrix, n, space, digits)
+        pairs = [pa.array(near.reshape(-1)), pa.array(cells[order].reshape(-1), pa.int64())]
         offsets = np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(pairs, ["distance", "cell"]))
 
     return assign
 
 
+def _ranked_cells(
+    rows: np.ndarray, matrix: np.ndarray, n: int, space: str, digits: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rounded distances and positions of each row's ``n`` nearest centroids.
+
+    Rows are measured a slice at a time: a batch beside thousands of centroids has far more
+    distances than a worker should hold.
+    """
+    centroids, width = Side(matrix, space), min(n, len(matrix))
+    near, order = np.empty((len(rows), width)), np.empty((len(rows), width), np.int64)
+    step = max(1, ASSIGNED_PAIRS // max(matrix.shape))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
+        ranked = np.floor(Side(rows[part], space).to(centroids) * 10.0**digits + 0.5)
+        order[part] = np.argsort(ranked, axis=1, kind="stable")[:, :width]
+        near[part] = np.take_along_axis(ranked, order[part], 1)
+    return near, order
+
+
 def _lists(cells: np.ndarray) -> pa.Array:
     rows, width = cells.shape
     offsets = np.arange(rows + 1, dtype=np.int32) * width

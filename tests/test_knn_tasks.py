@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from abstracta.operators import embed, knn
+from abstracta.operators import ann, embed, knn
 
 OUT = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
@@ -111,3 +114,17 @@ def test_texts_are_embedded_in_small_slices():
     texts = pa.array(["a b " * 400_000, "b", None] * 3)
     assert [len(part) for part in embed._slices(texts)] == [3, 3, 3]
     assert embed._terms(texts, 64) == pa.concat_arrays([embed._slice_terms(texts.slice(i, 1), 64) for i in range(9)])
+
+
+def test_a_batch_beside_many_centroids_is_measured_in_slices(monkeypatch):
+    monkeypatch.setattr(ann.F, "arrow_udf", lambda kind: lambda function: function)
+    rng = np.random.RandomState(5)
+    points, centroids = rng.standard_normal((3_000, 8)).astype(np.float32), rng.standard_normal((2_000, 8))
+    column = side(points, [0] * 3_000, range(3_000), "q").column("q_vector").combine_chunks()
+    assign = ann._nearest_in(SimpleNamespace(value=(np.arange(2_000) * 7, centroids)), 8, 3, "cosine", 6)
+    tracemalloc.start()
+    found = assign(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(i, near["cell"] // 7) for i, row in enumerate(found.to_pylist()) for near in row} == brute(points, centroids.astype(np.float64), 3, "cosine")
+    assert peak < 30_000_000 and len(assign(column.slice(0, 0))) == 0
