@@ -39,6 +39,8 @@ MERGE_PARTS = 16
 #: Products that a task is worth starting for, and that it computes at most (pairs times values).
 TASK_PRODUCTS = 1 << 30, 1 << 38
 TASKS_PER_CORE = 4
+#: Small cells share tasks of such a part of what a task takes.
+SHARED_PARTS = 4
 TILE_QUERIES, TILE_CELLS, TILE_CANDIDATES = 1_024, 4_194_304, 400_000
 _STEP_CELLS = 524288
 _SMALL_BLOCK = 4_096
@@ -499,7 +501,7 @@ def _blocks(
 
     A cell (all rows, where there are no cells) is cut into blocks of both sides, a task for
     each pair of them: as many as keep all cores busy, none above ``TASK_PRODUCTS``. So a hot
-    cell is many tasks and not one. Cells of a single pair of blocks share tasks.
+    cell is many tasks and not one. Small cells share tasks.
     Texts are embedded before they are copied to several blocks.
     """
     if isinstance(corpus.schema["c_vector"].dataType, T.StringType):
@@ -511,7 +513,8 @@ def _blocks(
         q_counts = queries.groupBy("_cell").agg(F.count("*").alias("n_q"))
         sizes = checkpointed(q_counts.join(corpus.groupBy("_cell").agg(F.count("*").alias("n_c")), "_cell"))
         n_cells, pairs = sizes.agg(F.count("*"), F.sum(F.col("n_q").cast("double") * F.col("n_c"))).head()
-        sizes, tasks = _dealt(sizes, _task_pairs(pairs or 0, tasks_wanted, dim), block_queries, block_items)
+        most = _task_pairs(pairs or 0, tasks_wanted, dim)
+        sizes, tasks = _dealt(sizes, most, block_queries, block_items, TASK_PRODUCTS[0] // dim)
         sizes = F.broadcast(sizes) if n_cells <= BROADCAST_CELLS else sizes
         queries, corpus = queries.join(sizes, "_cell"), corpus.join(sizes, "_cell")
     else:
@@ -553,20 +556,27 @@ def _cuts(n_queries: int, n_items: int, most: int, block_queries: int, block_ite
     return max(1, -(-n_queries // block_queries)), max(1, -(-n_items // block_items))
 
 
-def _dealt(sizes: DataFrame, most: int, block_queries: int, block_items: int) -> tuple[DataFrame, int]:
+def _dealt(
+    sizes: DataFrame, most: int, block_queries: int, block_items: int, least: int = 1
+) -> tuple[DataFrame, int]:
     """``_cell, _q_blocks, _c_blocks, _first`` (the cell's first task), and the number of tasks.
 
-    Only cells with more rows or pairs than a task takes are listed by the driver: no more
-    than there are tasks.
+    Cells that would be felt in a shared task (over a quarter of what a task takes) have tasks of
+    their own. Only they are listed by the driver: no more than four times the tasks a full deal needs.
+    The others meet by hash, a quarter of a task at a time, so that a few too many in one are no matter.
+    A task is not worth starting for under ``least`` pairs.
     """
-    large = (F.col("n_q") > block_queries) | (F.col("n_c") > block_items) | (F.col("n_q").cast("double") * F.col("n_c") > most)
+    pairs = F.col("n_q").cast("double") * F.col("n_c")
+    some_queries, some_items = -(-block_queries // SHARED_PARTS), -(-block_items // SHARED_PARTS)
+    some_pairs = min(most, max(least, -(-most // SHARED_PARTS)))
+    large = (F.col("n_q") > some_queries) | (F.col("n_c") > some_items) | (pairs > some_pairs)
     cut, first = [], 0
     for cell, n_q, n_c in sizes.where(large).select("_cell", "n_q", "n_c").collect():
         q_blocks, c_blocks = _cuts(n_q, n_c, most, block_queries, block_items)
         cut.append((cell, q_blocks, c_blocks, first))
         first += q_blocks * c_blocks
-    n_q, n_c, pairs = sizes.where(~large).agg(F.sum("n_q"), F.sum("n_c"), F.sum(F.col("n_q").cast("double") * F.col("n_c"))).head()
-    shared = 0 if n_q is None else max(1, -(-n_q // block_queries), -(-n_c // block_items), -(-int(pairs) // most))
+    n_q, n_c, rest = sizes.where(~large).agg(F.sum("n_q"), F.sum("n_c"), F.sum(pairs)).head()
+    shared = 0 if n_q is None else max(1, -(-n_q // some_queries), -(-n_c // some_items), -(-int(rest) // some_pairs))
     at_hash = (F.pmod(F.xxhash64("_cell"), F.lit(max(1, shared))) + first).cast("int")
     small = sizes.where(~large).select("_cell", F.lit(1).alias("_q_blocks"), F.lit(1).alias("_c_blocks"), at_hash.alias("_first"))
     listed = sizes.sparkSession.createDataFrame(cut, small.schema)

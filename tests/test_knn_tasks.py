@@ -99,6 +99,17 @@ def test_hot_cells_are_cut_and_small_ones_share_a_task(spark):
     assert tasks == 11 and rows.pop(0) == (10, 1, 0) and set(rows.values()) == {(1, 1, 10)} and len(rows) == 199
 
 
+def test_cells_that_share_a_task_do_not_overfill_it(spark):
+    cells = [(i, 3_000, 3_000) for i in range(60)] + [(i, 40, 40) for i in range(60, 1_000)]
+    sizes = spark.createDataFrame(cells, "_cell long, n_q long, n_c long")
+    dealt, tasks = knn._dealt(sizes, 20_000_000, 10_000, 10_000)
+    rows = {}
+    for r in dealt.collect():
+        assert (r["_q_blocks"], r["_c_blocks"]) == (1, 1)
+        rows[r["_first"]] = rows.get(r["_first"], 0) + (3_000 if r["_cell"] < 60 else 40)
+    assert sum(rows.values()) == 60 * 3_000 + 940 * 40 and max(rows) < tasks and max(rows.values()) <= 10_000
+
+
 def test_many_queries_are_dealt_by_pairs(spark, monkeypatch):
     monkeypatch.setattr(knn, "SCAN_QUERIES", 100)
     monkeypatch.setattr(knn, "TASK_PRODUCTS", (1 << 12, 1 << 13))
