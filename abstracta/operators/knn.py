@@ -42,6 +42,8 @@ TASKS_PER_CORE = 4
 #: Small cells share tasks of such a part of what a task takes.
 SHARED_PARTS = 4
 TILE_QUERIES, TILE_CELLS, TILE_CANDIDATES = 1_024, 4_194_304, 400_000
+#: Tiles that meet a slice of items one after the other.
+TILES = 4
 _STEP_CELLS = 524288
 _SMALL_BLOCK = 4_096
 
@@ -74,6 +76,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
 
 
+def _few_set(mask: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a mask with few cells set: eight are passed over at a time."""
+    flat = mask.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64) != 0)[:, None] * 8 + np.arange(8)).reshape(-1)
+    return at[flat[at]]
+
+
 class Side:
     """Vectors of one side of a block, prepared once for all the blocks they are in."""
 
@@ -123,7 +134,7 @@ class Side:
         mask = self._in_single(True) @ items._in_single(False).T < np.where(self.known, edge, -np.inf).astype(np.float32)[:, None]
         if not items.known.all():
             mask[:, ~items.known] = False
-        return np.divmod(np.flatnonzero(mask), mask.shape[1])
+        return np.divmod(_few_set(mask), mask.shape[1])
 
     def _in_single(self, asks: bool) -> np.ndarray:
         """Rows whose products are the distances but for what a query adds to all of its own."""
@@ -180,9 +191,27 @@ def distance_to(vector: Column, query: Sequence[float], space: str = "cosine") -
     return evaluated_once(measure)(vector)
 
 
+def _by_distance(query: np.ndarray, rounded: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """``lexsort((ids, rounded, query))``, by one number where it fits; only ties are sorted by id."""
+    least = rounded.min()
+    span = rounded.max() - least + 1.0
+    if not (int(query.max()) + 1) * span < 2.0**52:
+        return np.lexsort((ids, rounded, query))
+    key = (query * span + (rounded - least)).astype(np.int64)
+    order = np.argsort(key)
+    same = np.diff(key[order]) == 0
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    among = order[tied]
+    order[tied] = among[np.lexsort((ids[among], key[among]))]
+    return order
+
+
 class KBest:
     """The k best (distance to ``digits`` digits, then id) per query over a stream of blocks."""
 
+    #: No (query, id) pair is offered twice.
+    distinct = False
+
     def __init__(self, n_queries: int, k: int, digits: int):
         self.k, self.scale = k, 10.0**digits
         self.worst = np.full(n_queries, np.inf)
@@ -247,12 +276,13 @@ class KBest:
         query, ids, dist = (np.concatenate(parts) for parts in zip(*self.pending))
         if not len(query):
             return
-        order = np.lexsort((dist, ids, query))
-        repeated = (np.diff(query[order]) == 0) & (ids[order][1:] == ids[order][:-1])
-        order = order[np.r_[True, ~repeated]]
-        query, dist, ids = query[order], dist[order], ids[order]
+        if not self.distinct:
+            order = np.lexsort((dist, ids, query))
+            repeated = (np.diff(query[order]) == 0) & (ids[order][1:] == ids[order][:-1])
+            order = order[np.r_[True, ~repeated]]
+            query, dist, ids = query[order], dist[order], ids[order]
         rounded = self._rounded(dist)
-        order = np.lexsort((ids, rounded, query))
+        order = _by_distance(query, rounded, ids)
         sorted_query = query[order]
         starts = np.r_[0, np.nonzero(np.diff(sorted_query))[0] + 1]
         rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
@@ -606,13 +636,21 @@ def _joined(
         if (q_end - q_start) * (c_end - c_start) < _SMALL_BLOCK:
             few.append((q_start, q_end, c_start, c_end))
             continue
-        for first in range(q_start, q_end, tile):
-            n = min(tile, q_end - first)
-            known, best = Side(to_matrix(vectors.slice(first, n), dim), space), KBest(n, k, digits)
-            for start, step in _steps(n, c_end - c_start, dim):
+        distinct = len(np.unique(id_array(c.column("c_id").slice(c_start, c_end - c_start)))) == c_end - c_start
+        for first in range(q_start, q_end, tile * TILES):
+            # Some tiles meet each slice of items while it is at hand.
+            at = [(start, min(tile, q_end - start)) for start in range(first, min(q_end, first + tile * TILES), tile)]
+            tiles = [Side(to_matrix(vectors.slice(*rows), dim), space) for rows in at]
+            bests = [KBest(n, k, digits) for _, n in at]
+            for best in bests:
+                best.distinct = distinct
+            for start, step in _steps(at[0][1], c_end - c_start, dim):
                 part = c.slice(c_start + start, min(step, c_end - c_start - start))
-                best.search(known, Side(to_matrix(part.column("c_vector"), dim), space), id_array(part.column("c_id")))
-            yield from best.batch(query_ids.slice(first, n), out)
+                items, ids = Side(to_matrix(part.column("c_vector"), dim), space), id_array(part.column("c_id"))
+                for known, best in zip(tiles, bests):
+                    best.search(known, items, ids)
+            for rows, best in zip(at, bests):
+                yield from best.batch(query_ids.slice(*rows), out)
     # Small cells are taken together, as many at a time as fill a step.
     room = max(1, _STEP_CELLS // dim)
     while few:

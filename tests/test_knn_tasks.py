@@ -53,6 +53,39 @@ def test_a_task_holds_the_candidates_of_a_tile(monkeypatch, space):
     assert found == brute(q, c, 5, space) and max(held) == 500 and len(held) == 7
 
 
+def test_a_slice_of_items_is_prepared_once_for_some_tiles(monkeypatch):
+    rng, read = np.random.RandomState(6), []
+    to_matrix = knn.to_matrix
+    monkeypatch.setattr(knn, "to_matrix", lambda column, dim: read.append(len(column)) or to_matrix(column, dim))
+    q, c = rng.standard_normal((800, 8)), rng.standard_normal((900, 8))
+    found = pairs(knn._joined(side(q, [0] * 800, range(800), "q"), side(c, [0] * 900, range(900), "c"), 5, 8, "cosine", 6, 100, OUT))
+    assert found == brute(q, c, 5, "cosine") and sum(read) == 800 + 900 * 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e60])
+def test_candidates_in_order(scale):
+    rng = np.random.RandomState(7)
+    query, ids, rounded = rng.randint(0, 40, 5_000), rng.permutation(5_000), rng.randint(-1, 30, 5_000) * scale
+    assert (knn._by_distance(query, rounded, ids) == np.lexsort((ids, rounded, query))).all()
+
+
+@pytest.mark.parametrize("shape", [(3, 7), (8, 64), (1, 16)])
+def test_few_set_cells_are_found(shape):
+    mask = np.random.RandomState(8).random_sample(shape) < 0.1
+    mask[-1, -1] = True
+    assert (knn._few_set(mask) == np.flatnonzero(mask)).all()
+
+
+def test_an_id_repeated_in_later_slices_counts_once_by_its_nearest_row(monkeypatch):
+    monkeypatch.setattr(knn, "_STEP_CELLS", 5_000)  # 100 items beside 50 queries
+    rng = np.random.RandomState(9)
+    q, c, ids = rng.standard_normal((100, 4)), rng.standard_normal((600, 4)), np.arange(600) % 200
+    found = [r for b in knn._joined(side(q, [0] * 100, range(100), "q"), side(c, [0] * 600, ids, "c"), 5, 4, "l2sq", 6, 50, OUT) for r in b.to_pylist()]
+    far = np.square(q.astype(np.float32).astype(float)[:, None] - c.astype(np.float32).astype(float)[None]).sum(-1).reshape(100, 3, 200).min(1)
+    want = {(i, int(j)) for i, row in enumerate(far) for j in np.lexsort((np.arange(200), np.floor(row * 1e6 + 0.5)))[:5]}
+    assert {(r["query_id"], r["id"]) for r in found} == want and len(found) == 500
+
+
 def test_cells_of_one_task_stay_apart():
     rng = np.random.RandomState(2)
     cells = np.r_[np.zeros(300, int), rng.randint(1, 60, 300)]  # one large, many small ones
